@@ -16,9 +16,11 @@ Q, SQL = {}, {}
 r4 = lambda c, name=None: F.round(c, 4).alias(name or c)
 
 Q["b1_category_attributes"] = lambda spark, folder: G.category_attributes(order_log(spark, folder))
-SQL["b1_category_attributes"] = sql("""SELECT object_type, name AS attribute, value, count(*) AS objects FROM attr WHERE object_type IN ('Order', 'Item')
-    AND object_id IN (SELECT object_id FROM e2o) GROUP BY ALL QUALIFY count(*) OVER (PARTITION BY object_type, name) BETWEEN 2 AND 12
-    AND sum(count(*)) OVER (PARTITION BY object_type, name) * 2 >= (SELECT count(DISTINCT object_id) FROM e2o WHERE e2o.object_type = attr.object_type)""")
+SQL["b1_category_attributes"] = sql("""SELECT object_type, attribute, value, objects FROM (
+    SELECT *, count(*) OVER (PARTITION BY object_type, attribute) AS k, sum(objects) OVER (PARTITION BY object_type, attribute) AS filled FROM (
+        SELECT object_type, name AS attribute, value, count(*) AS objects FROM attr WHERE object_type IN ('Order', 'Item')
+        AND object_id IN (SELECT object_id FROM e2o) GROUP BY 1, 2, 3))
+    JOIN (SELECT object_type, count(DISTINCT object_id) AS n FROM e2o GROUP BY 1) USING (object_type) WHERE k BETWEEN 2 AND 12 AND filled * 2 >= n""")
 
 
 def b2(spark, folder):

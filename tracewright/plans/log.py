@@ -22,9 +22,8 @@ class EventLog:
     """
 
     def __init__(self, objects: DataFrame, events: DataFrame, e2o: DataFrame, skips: DataFrame | None = None,
-                 hub_types: list[str] | None = None, produced: DataFrame | None = None):
+                 hub_types: list[str] | None = None):
         self.objects, self.events, self.e2o, self.skips = objects, events, e2o, skips
-        self.produced = produced
         self._hub_types = hub_types
         self.spark: SparkSession = prepare(objects.sparkSession)
 
@@ -48,7 +47,8 @@ class EventLog:
         """The same log with its tables written once in the shared folder."""
         out = EventLog(settle(self.objects, "objects"), settle(self.events, "events"), settle(self.e2o, "e2o"),
                        None if self.skips is None else settle(self.skips, "skips"), self._hub_types)
-        out.produced = self.produced
+        # one row per (event, object) is what nearly every job starts from
+        out.__dict__["links"] = settle(out.links, "links")
         return out
 
     # ---- derived once --------------------------------------------------
