@@ -17,12 +17,12 @@ ITEM_ROW = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
 ORDER_LOG = Mapping(
     objects=(
         ObjectRule("Order", "orders", ("o_orderkey",),
-                   ("o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey")),
+                   ("o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey"), unique_key=True),
         ObjectRule("Item", "lineitem", ("l_orderkey", "l_linenumber"),
                    ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")),
-        ObjectRule("Customer", "customer", ("c_custkey",), ("c_mktsegment", "c_nationkey", "c_name")),
-        ObjectRule("Supplier", "supplier", ("s_suppkey",), ("s_name", "s_nationkey")),
-        ObjectRule("Part", "part", ("p_partkey",), ("p_brand", "p_type")),
+        ObjectRule("Customer", "customer", ("c_custkey",), ("c_mktsegment", "c_nationkey", "c_name"), unique_key=True),
+        ObjectRule("Supplier", "supplier", ("s_suppkey",), ("s_name", "s_nationkey"), unique_key=True),
+        ObjectRule("Part", "part", ("p_partkey",), ("p_brand", "p_type"), unique_key=True),
     ),
     events=(
         EventRule("Place Order", "orders", "o_orderdate", row_key=("o_orderkey",)),

@@ -75,10 +75,10 @@ Q["f10_filterable_attributes"] = lambda spark, folder: X.filterable_attributes(o
     "kind", "object_type", "attribute", "distinct", "value", "count", F.col("rank").cast("long").alias("rank"))
 SQL["f10_filterable_attributes"] = sql("""
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, object_type, attribute ORDER BY count DESC, value) AS rank,
-        count(*) OVER (PARTITION BY kind, object_type, attribute) AS distinct FROM (
+        count(*) OVER (PARTITION BY kind, object_type, attribute) AS "distinct" FROM (
         SELECT 'object' AS kind, object_type, name AS attribute, value, count(*) AS count FROM attr GROUP BY ALL
         UNION ALL SELECT 'event', NULL, 'l_linestatus', l_linestatus, count(*) FROM ev WHERE l_linestatus IS NOT NULL GROUP BY ALL))
-    WHERE rank <= 2000 AND distinct >= 2""")
+    WHERE rank <= 2000 AND "distinct" >= 2""")
 
 
 def f11(spark, folder):

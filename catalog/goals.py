@@ -51,7 +51,7 @@ def b4(spark, folder):
                                activity_values={"R": "Return", "N": "Other", "A": "Other"}, row_key=("row",)),))
     from tracewright.functions.scalars import object_key
     rows = line.select(object_key(list(data_row())).alias("row"), "l_returnflag", "l_linestatus", "l_shipdate")
-    log = B.build(rules, {"lines": rows})
+    log = B.build(rules, {"lines": rows}).settled()
     return G.separating_attribute(log, O.Objective("Line", "Return", "Other"))
 
 

@@ -22,49 +22,50 @@ def blank_to_null(c: Column | str) -> Column:
     return F.when(~F.trim(c).isin(fixed.NA_TOKENS), c)
 
 
+def quoted(column: str) -> str:
+    return column if column.startswith("`") else f"`{column}`"
+
+
 def clean(c: Column | str) -> Column:
     """Trimmed text; null, blanks and "nan" become ''."""
-    text = F.trim(_col(c).cast("string"))
-    return F.when(text.isNull() | (text == "nan"), F.lit("")).otherwise(text)
+    return F.coalesce(F.nullif(F.trim(_col(c).cast("string")), F.lit("nan")), F.lit(""))
 
 
 def filled(c: Column | str) -> Column:
     return ~clean(c).isin("", "None")
 
 
+def present_sql(column: str) -> str:
+    return f"nullif(nullif(trim(CAST({quoted(column)} AS STRING)), 'nan'), '')"
+
+
 def present(c: Column | str) -> Column:
     """The trimmed value, or null when empty: ready for counting and joining."""
-    return F.nullif(clean(c), F.lit(""))
+    return F.expr(present_sql(c)) if isinstance(c, str) else F.nullif(clean(c), F.lit(""))
 
 
 def object_key(columns: Iterable[str]) -> Column:
     """Key parts joined by '|', null as soon as one part is empty."""
-    parts = [present(c) for c in columns]
-    if len(parts) == 1:
-        return parts[0]
     # concat (unlike concat_ws) is null when any part is null
-    joined = [parts[0]]
-    for p in parts[1:]:
-        joined += [F.lit("|"), p]
-    return F.concat(*joined)
+    return F.expr("concat(" + ", '|', ".join(present_sql(c) for c in columns) + ")")
 
 
-def sort_text(c: Column | str, dtype: T.DataType) -> Column:
+def sort_text_sql(column: str, dtype: T.DataType) -> str:
     """Text whose order follows the value for non-negative numbers and times.
 
     Used as the tie-break between rows of one instant: any total order that
     depends only on the data will do.
     """
-    c = _col(c)
+    c = quoted(column)
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        text = F.lpad(c.cast("string"), 12, "0")
+        text = f"lpad(CAST({c} AS STRING), 12, '0')"
     elif isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        text = F.lpad(c.cast("decimal(20,2)").cast("string"), 16, "0")
+        text = f"lpad(CAST(CAST({c} AS DECIMAL(20,2)) AS STRING), 16, '0')"
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        text = F.date_format(c.cast("timestamp"), "yyyyMMddHHmmssSSSSSS")
+        text = f"date_format(CAST({c} AS TIMESTAMP), 'yyyyMMddHHmmssSSSSSS')"
     else:
-        text = c.cast("string")
-    return F.coalesce(text, F.lit(""))
+        text = f"CAST({c} AS STRING)"
+    return f"coalesce({text}, '')"
 
 
 def seconds_of_day(c: Column | str) -> Column:
@@ -85,11 +86,8 @@ def first_timestamp(text: Column, patterns: dict[str, str]) -> Column:
 
     The shape is tested first, so that only one format is ever tried per value.
     """
-    out = F.lit(None).cast("timestamp")
-    for shape, pattern in reversed(patterns.items()):
-        read = F.try_to_timestamp(text, F.lit(pattern))
-        out = F.when(text.rlike(shape), F.coalesce(read, out)).otherwise(out)
-    return out
+    return F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+                        for shape, pattern in patterns.items()])
 
 
 # the four spellings accepted for an event time
@@ -138,24 +136,18 @@ def number(c: Column | str) -> Column:
 
 
 # spellings of a date inside an attribute
-DATE_VALUE = {
+DATE_HEAD = {
     r"^\d{8}$": "yyyyMMdd",
     r"^\d{1,2}\.\d{1,2}\.\d{4}$": "d.M.yyyy",
     r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy",
-    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
-    r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$": "iso",
 }
+DATE_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def date_value(c: Column | str) -> Column:
     """Date inside an attribute value, as a timestamp (UTC)."""
     s = F.trim(_col(c).cast("string"))
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"),
-                 s.try_cast("timestamp"))
-    head = F.substring(s, 1, 10)
-    fixed_shapes = {k: v for k, v in DATE_VALUE.items() if v not in ("iso",)}
-    return F.coalesce(first_timestamp(head, {k: v for k, v in fixed_shapes.items() if v != "yyyy-MM-dd"}), iso,
-                      first_timestamp(s, {r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd"}))
+    return F.coalesce(first_timestamp(F.substring(s, 1, 10), DATE_HEAD), F.when(s.rlike(DATE_ISO), s.try_cast("timestamp")))
 
 
 def is_date_text(c: Column | str) -> Column:
@@ -237,11 +229,11 @@ def lookup(values: dict[str, str], c: Column) -> Column:
     return F.element_at(F.create_map(*pairs), c)
 
 
-def attribute_map(columns: dict[str, str]) -> Column:
-    """MAP of the non-empty columns: name in the log -> source column."""
+def attribute_map(columns: Iterable[str]) -> Column:
+    """MAP of the non-empty columns by name."""
+    columns = list(columns)
     if not columns:
-        return F.create_map().cast("map<string,string>")
-    pairs: list[Column] = []
-    for name, c in columns.items():
-        pairs += [F.lit(name), F.when(clean(c) != "", F.col(c).cast("string"))]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+        return F.expr("CAST(map() AS MAP<STRING,STRING>)")
+    value = lambda c: f"CASE WHEN {present_sql(c)} IS NOT NULL THEN CAST({quoted(c)} AS STRING) END"
+    pairs = ", ".join(f"'{c}', {value(c)}" for c in columns)
+    return F.expr(f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)")

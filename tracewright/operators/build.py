@@ -37,12 +37,18 @@ def with_computed(tables: Tables, computed: tuple[ComputedColumn, ...]) -> Table
     return out
 
 
-# ---- row identity ----------------------------------------------------------
+# ---- rows ------------------------------------------------------------------
 def row_order(df: DataFrame, ordinal: int, columns: list[str] | None = None) -> Column:
     """Sortable text of a source row: a total order that depends only on the data."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = [S.sort_text(c, types[c]) for c in (columns or df.columns)]
-    return F.concat_ws("|", F.lit(str(ordinal)), *parts)
+    parts = ", ".join(S.sort_text_sql(c, types[c]) for c in (columns or df.columns))
+    return F.expr(f"concat_ws('|', '{ordinal}', {parts})")
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows of a table with few input splits (one small file) over all cores; bigger tables are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 # ---- objects ---------------------------------------------------------------
@@ -58,29 +64,46 @@ def split_type(rule: ObjectRule) -> tuple[Column, Column]:
     return otype, outcome
 
 
-def object_rows(rule: ObjectRule, table: DataFrame, ordinal: int) -> DataFrame:
-    """Every source row with a key: type, outcome, attributes and row order."""
+def object_rows(rule: ObjectRule, table: DataFrame) -> DataFrame:
+    """Every source row with a key: its object, the outcome of the split, and the row itself."""
     otype, outcome = split_type(rule)
     rows = table.select(
         F.lit(rule.name).alias("base_type"), S.object_key(rule.key_columns).alias("key"), otype.alias("object_type"),
         outcome.alias("outcome"),
         (S.clean(rule.split_column) if rule.split_column else F.lit(None).cast("string")).alias("split_value"),
-        S.attribute_map({c: c for c in rule.attributes}).alias("attrs"), row_order(table, ordinal).alias("ord"))
+        F.struct(*table.columns).alias("row"))
     return rows.where(F.col("key").isNotNull()).withColumn("object_id", F.concat_ws(":", "object_type", "key"))
 
 
+def first_rows(rule: ObjectRule, table: DataFrame) -> DataFrame:
+    """The first row of every object (smallest by all columns), with its attributes."""
+    rows = object_rows(rule, table).where(F.col("object_type").isNotNull())
+    if not rule.unique_key:
+        rows = rows.groupBy("object_id", "object_type", "key").agg(F.min("row").alias("row"))
+    return rows.select("object_id", "object_type", "key", "row.*").select(
+        "object_id", "object_type", "key", S.attribute_map(rule.attributes).alias("attrs"))
+
+
 def build_objects(mapping: Mapping, tables: Tables) -> DataFrame:
-    rows = union_all([object_rows(r, tables[r.table], i) for i, r in enumerate(mapping.objects)])
-    return (rows.where(F.col("object_type").isNotNull())
-            .groupBy("object_id", "object_type", "key")
-            .agg(F.min_by("attrs", "ord").alias("attrs")))
+    frames = [first_rows(r, tables[r.table]) for r in mapping.objects]
+    made = [t for r in mapping.objects for t in r.output_types()]
+    if len(made) == len(set(made)):
+        return union_all(frames)
+    # two rules make the same type: the first rule wins
+    ranked = union_all([f.withColumn("rule", F.lit(i)) for i, f in enumerate(frames)])
+    return ranked.groupBy("object_id", "object_type", "key").agg(F.min_by("attrs", "rule").alias("attrs"))
+
+
+def existing_ids(rule: ObjectRule, table: DataFrame) -> DataFrame:
+    """Ids a rule makes, repeats included: all a semi join needs."""
+    return object_rows(rule, table).where(F.col("object_type").isNotNull()).select("object_id")
 
 
 def split_ids(rule: ObjectRule, table: DataFrame) -> DataFrame:
-    """Key of the mapped type -> the object it became."""
-    rows = object_rows(rule, table, 0).where(F.col("object_type").isNotNull())
-    return rows.groupBy("key").agg(F.min_by(F.struct("object_id", "object_type"), "ord").alias("o")).select(
-        F.col("key").alias("target_key"), "o.object_id", "o.object_type")
+    """Key of the mapped type -> the object it became (that of the first row)."""
+    rows = object_rows(rule, table).where(F.col("object_type").isNotNull())
+    found = rows.groupBy("key").agg(F.min(F.struct("row", "object_id", "object_type")).alias("o"))
+    return found.select(F.col("key").alias("target_key"), "o.object_id", "o.object_type")
 
 
 def main_key_column(rule: ObjectRule, table: DataFrame) -> str:
@@ -168,90 +191,85 @@ def _reference_key(link: LinkRule, rule: EventRule, target: ObjectRule, columns:
     return None
 
 
-def rule_links(mapping: Mapping, rule: EventRule, rows: DataFrame, columns: list[str], tables: Tables
-               ) -> tuple[DataFrame | None, bool]:
-    """Links by the rules of a group, and whether the same link may appear twice."""
+def rule_links(mapping: Mapping, rule: EventRule, rows: DataFrame, columns: list[str], tables: Tables) -> list[DataFrame]:
+    """Links by the rules of a group, one table per rule, to existing objects only.
+
+    Each rule is a narrow projection of the source rows and a semi join with the
+    keys of its target table, which Spark broadcasts where they are few.
+    """
     kept = _kept(rows)
-    direct: list[Column] = []
     frames: list[DataFrame] = []
-    labels: list[tuple[str, str]] = []
-    repeats = False
     for link in mapping.links_of(rule):
         target, only = mapping.target_of(link)
         if target is None:
             continue
-        repeats = repeats or (target.name, link.label) in labels
-        labels.append((target.name, link.label))
         key = _reference_key(link, rule, target, columns, tables)
-        qualifier = F.lit(link.label)
-        if key is not None and not target.split_column:
-            direct.append(F.when(key.isNotNull(), F.struct(
-                F.concat(F.lit(f"{target.name}:"), key).alias("object_id"), F.lit(target.name).alias("object_type"),
-                qualifier.alias("qualifier"))))
-            continue
+        qualifier = F.lit(link.label).alias("qualifier")
         if key is not None:
-            found = kept.select(*_event(), key.alias("target_key"), qualifier.alias("qualifier"))
+            found = kept.select(*_event(), key.alias("target_key"), qualifier)
         else:
             bridge = tables.get(link.table)
             if (bridge is None or link.column not in columns or link.column not in bridge.columns
                     or any(c not in bridge.columns for c in target.key_columns)):
                 continue
-            repeats = True
-            side = (bridge.select(S.present(link.column).alias("__via"),
-                                  S.object_key(target.key_columns).alias("target_key"),
-                                  *([split_type(target)[0].alias("__split")] if target.split_column else []))
+            # several bridge rows may lead to the same object
+            side = (bridge.select(S.present(link.column).alias("__via"), S.object_key(target.key_columns).alias("target_key"))
                     .where(F.col("__via").isNotNull() & F.col("target_key").isNotNull()).distinct())
-            found = kept.select(*_event(), S.present(link.column).alias("__via"), qualifier.alias("qualifier")).join(
-                side, "__via").drop("__via", "__split")
+            found = kept.select(*_event(), S.present(link.column).alias("__via"), qualifier).join(side, "__via").drop("__via")
         found = found.where(F.col("target_key").isNotNull())
+        table = tables[target.table]
         if target.split_column:
-            ids = split_ids(target, tables[target.table])
-            if only:
-                ids = ids.where(F.col("object_type") == only)
-            found = found.join(ids, "target_key")
+            ids = split_ids(target, table)
+            found = found.join(ids.where(F.col("object_type") == only) if only else ids, "target_key")
         else:
             found = found.withColumns({"object_id": F.concat(F.lit(f"{target.name}:"), F.col("target_key")),
                                        "object_type": F.lit(target.name)})
+            found = found.join(existing_ids(target, table), "object_id", "left_semi")
         frames.append(found.select(*_E2O))
-    if direct:
-        frames.insert(0, kept.select(*_event(), F.explode(F.array_compact(F.array(*direct))).alias("l"))
-                      .select("*", "l.*").select(*_E2O))
-    return (union_all(frames) if frames else None), repeats
+    return frames
+
+
+def links_are_unique(mapping: Mapping) -> bool:
+    """No event group reaches the same object type on two ways: then no event is linked twice to one object."""
+    for rule in mapping.events:
+        home = mapping.home_of(rule)
+        targets = [home.name] if home else []
+        targets += [t.name for t, _ in map(mapping.target_of, mapping.links_of(rule)) if t is not None]
+        if len(targets) != len(set(targets)):
+            return False
+    return True
 
 
 def build(mapping: Mapping, source: Tables) -> EventLog:
     """The whole log for a confirmed mapping."""
-    tables = with_computed(source, mapping.computed)
+    tables = {n: spread_out(t) for n, t in with_computed(source, mapping.computed).items()}
     objects = build_objects(mapping, tables)
+    unique = links_are_unique(mapping)
     events, links, skips = [], [], []
     for i, rule in enumerate(mapping.events, 1):
         table = tables[rule.table]
         rows = event_rows(mapping, rule, table, i)
-        found, repeats = rule_links(mapping, rule, rows, table.columns, tables)
-        if found is not None:
-            found = found.join(objects.select("object_id"), "object_id", "left_semi").select(*_E2O)
-        group_links = home_links(rows)
-        if found is not None:
-            group_links = group_links.unionByName(found)
-            if repeats or any(r.label == fixed.HOME for r in mapping.links_of(rule)):
-                group_links = group_links.dropDuplicates(["event_id", "object_id", "qualifier"])
+        found = rule_links(mapping, rule, rows, table.columns, tables)
+        group_links = union_all([home_links(rows), *found])
+        if not unique:
+            group_links = group_links.dropDuplicates(["event_id", "object_id", "qualifier"])
         kept = _kept(rows)
         skips.append(_skipped(rule, rows))
         home = mapping.home_of(rule)
         if home is not None and home.split_column:
             # an event of a left-out object stays only when it concerns another object
             alone = kept.where(F.col("__home_excluded"))
-            if found is not None:
-                alone = alone.join(found.select(F.col("event_id").alias("__event_id")), "__event_id", "left_anti")
+            for f in found:
+                alone = alone.join(f.select(F.col("event_id").alias("__event_id")), "__event_id", "left_anti")
             skips.append(alone.select(*_skip_columns(rule, F.lit("excluded_object"), F.concat(
                 F.lit("value '"), S.clean(home.split_column),
                 F.lit(f"' of '{home.split_column}' is left out ({home.name})")))))
             kept = kept.join(alone.select("__event_id"), "__event_id", "left_anti")
         events.append(kept.select(*_event(), F.lit(rule.name).alias("event_group"),
-                                  S.attribute_map({c: c for c in rule.attributes}).alias("attrs")))
+                                  S.attribute_map(rule.attributes).alias("attrs")))
         links.append(group_links)
     return EventLog(objects, union_all(events).select("event_id", "activity", "ts", "event_group", "ord", "attrs"),
-                    union_all(links), union_all(skips))
+                    union_all(links), union_all(skips), unique_links=unique)
 
 
 def _skip_columns(rule: EventRule, kind: Column, reason: Column) -> list[Column]:
@@ -312,7 +330,7 @@ def unmapped_activity_values(mapping: Mapping, log: EventLog) -> DataFrame:
 def split_outcomes(mapping: Mapping, source: Tables) -> DataFrame:
     """Rows per (mapped type, outcome, value) of the split columns."""
     tables = with_computed(source, mapping.computed)
-    frames = [object_rows(o, tables[o.table], i) for i, o in enumerate(mapping.objects) if o.split_column]
+    frames = [object_rows(o, tables[o.table]).drop("row") for o in mapping.objects if o.split_column]
     if not frames:
         return next(iter(source.values())).sparkSession.createDataFrame(
             [], "base_type string, outcome string, split_value string, rows long")

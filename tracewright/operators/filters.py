@@ -89,7 +89,8 @@ def expand(log: EventLog, seeds: DataFrame, same_type: str | None) -> EventLog:
         e2o = e2o.unionByName(log.e2o.where(hub_rows).join(kept_events, "event_id", "left_semi"))
     kept_objects = e2o.select("object_id").unionByName(seeds).distinct()
     out = EventLog(log.objects.join(kept_objects, "object_id", "left_semi"),
-                   log.events.join(kept_events, "event_id", "left_semi"), e2o, log.skips, hub_types=log.hubs)
+                   log.events.join(kept_events, "event_id", "left_semi"), e2o, log.skips, hub_types=log.hubs,
+                   unique_links=log.unique_links)
     # no group of the smaller log can be bigger than it was
     out.__dict__["hot_objects"], out.__dict__["hot_events"] = log.hot_objects, log.hot_events
     return out

@@ -19,12 +19,15 @@ class EventLog:
     e2o(event_id, object_id, object_type, qualifier, activity, ts, ord) and skips.
 
     ``hub_types`` is given for a filtered log: hubs are a property of the whole log.
+    ``unique_links`` states that no event is linked twice to one object (under two
+    qualifiers), which the builder knows from its rules: links then need no shuffle.
     """
 
     def __init__(self, objects: DataFrame, events: DataFrame, e2o: DataFrame, skips: DataFrame | None = None,
-                 hub_types: list[str] | None = None):
+                 hub_types: list[str] | None = None, unique_links: bool = False):
         self.objects, self.events, self.e2o, self.skips = objects, events, e2o, skips
         self._hub_types = hub_types
+        self.unique_links = unique_links
         self.spark: SparkSession = prepare(objects.sparkSession)
 
     # ---- storage -------------------------------------------------------
@@ -46,15 +49,19 @@ class EventLog:
     def settled(self) -> EventLog:
         """The same log with its tables written once in the shared folder."""
         out = EventLog(settle(self.objects, "objects"), settle(self.events, "events"), settle(self.e2o, "e2o"),
-                       None if self.skips is None else settle(self.skips, "skips"), self._hub_types)
-        # one row per (event, object) is what nearly every job starts from
-        out.__dict__["links"] = settle(out.links, "links")
+                       None if self.skips is None else settle(self.skips, "skips"), self._hub_types, self.unique_links)
+        if not self.unique_links:
+            # one row per (event, object) is what nearly every job starts from
+            out.__dict__["links"] = settle(out.links, "links")
         return out
 
     # ---- derived once --------------------------------------------------
     @cached_property
     def links(self) -> DataFrame:
         """One row per (event, object); ``home`` tells whether any of its links is the home link."""
+        if self.unique_links:
+            return self.e2o.select("event_id", "object_id", "object_type", "activity", "ts", "ord",
+                                   (F.col("qualifier") == fixed.HOME).alias("home"))
         return self.e2o.groupBy("event_id", "object_id", "object_type", "activity", "ts", "ord").agg(
             F.max(F.col("qualifier") == fixed.HOME).alias("home"))
 

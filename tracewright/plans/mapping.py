@@ -11,7 +11,8 @@ class ObjectRule:
     """Objects of one type: a row per key of ``table``.
 
     ``split`` turns the value of a column into a more specific type; '' leaves
-    the object out, an unlisted value keeps ``name``.
+    the object out, an unlisted value keeps ``name``. ``unique_key`` states that
+    no two rows of the table share a key, so that no row has to be chosen.
     """
 
     name: str
@@ -20,6 +21,7 @@ class ObjectRule:
     attributes: tuple[str, ...] = ()
     split_column: str | None = None
     split_values: MappingABC[str, str] | None = None
+    unique_key: bool = False
 
     @property
     def key_columns(self) -> list[str]:
