@@ -118,21 +118,22 @@ def number(c: Column | str) -> Column:
     With both separators the last one is the decimal one; a single comma is a
     decimal comma; a repeated separator groups thousands.
     """
-    s = F.regexp_replace(F.trim(_col(c).cast("string")), r"[ \u00a0']", "")
-    dots = F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
-    commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
-    no_dots = F.replace(s, F.lit("."), F.lit(""))
-    no_commas = F.replace(s, F.lit(","), F.lit(""))
-    plain = (F.when((commas > 0) & (dots > 0),
-                    F.when(F.length(F.substring_index(s, ",", -1)) < F.length(F.substring_index(s, ".", -1)),
-                           F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas))
-             .when(commas > 1, no_commas)
-             .when(commas == 1, F.replace(s, F.lit(","), F.lit(".")))
-             .when(dots > 1, no_dots)
-             .otherwise(s))
-    ok = plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    value = F.when(ok, plain).try_cast("double")
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    text = F.regexp_replace(F.trim(_col(c).cast("string")), r"[ \u00a0']", "")
+
+    def one_point(s: Column) -> Column:
+        """The same number with a point as its only separator."""
+        tail = lambda mark: F.length(F.substring_index(s, mark, -1))
+        drop = lambda mark: F.replace(s, F.lit(mark), F.lit(""))
+        return (F.when(s.contains(",") & s.contains("."),
+                       F.when(tail(",") < tail("."), F.replace(drop("."), F.lit(","), F.lit("."))).otherwise(drop(",")))
+                .when(s.like("%,%,%"), drop(",")).when(s.contains(","), F.replace(s, F.lit(","), F.lit(".")))
+                .when(s.like("%.%.%"), drop(".")).otherwise(s))
+
+    # transform over one value binds it to a name, so that it is worked out once
+    plain = F.get(F.transform(F.array(text), one_point), F.lit(0))
+    read = lambda p: F.when(p.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), p).try_cast("double")
+    value = F.get(F.transform(F.array(plain), read), F.lit(0))
+    return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 # spellings of a date inside an attribute

@@ -6,6 +6,7 @@ activity or other (gateways, intermediate events), and flows(flow_id, source, ta
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -129,21 +130,22 @@ def look_through(m: ProcessModel, tasks: DataFrame) -> DataFrame:
     spark = m.nodes.sparkSession
     stops = tasks.select("node_id", F.col("activity").alias("label")).unionByName(
         m.nodes.where("kind IN ('start', 'end')").select("node_id", F.when(F.col("kind") == "start", BEGIN).otherwise(FINISH).alias("label")))
-    key = f"tw_{abs(hash((id(m), id(tasks)))) % 10**9}"
-    stops.createOrReplaceTempView(f"{key}_stops")
-    m.flows.createOrReplaceTempView(f"{key}_flows")
-    starts = m.nodes.where("kind = 'start'").select("node_id")
-    ends = m.nodes.where("kind = 'end'").select("node_id")
+    stops = settle(stops, "stops")
 
     def reach(near: str, far: str) -> DataFrame:
         """(flow_id, label) of the stops met from the ``near`` end of every flow."""
-        return spark.sql(f"""
+        key = f"tracewright_{uuid.uuid4().hex}"
+        m.flows.createOrReplaceTempView(f"{key}_flows")
+        # flows one may walk on: those behind a node that is no stop
+        settle(m.flows.join(stops.select(F.col("node_id").alias(far)), far, "left_anti"), "open-flows").createOrReplaceTempView(f"{key}_open")
+        walk = spark.sql(f"""
             WITH RECURSIVE walk(flow_id, node, path) AS (
                 SELECT flow_id, {near}, array({near}) FROM {key}_flows
                 UNION ALL
-                SELECT w.flow_id, f.{near}, array_append(w.path, f.{near}) FROM walk w JOIN {key}_flows f ON f.{far} = w.node
-                WHERE NOT array_contains(w.path, f.{near}) AND w.node NOT IN (SELECT node_id FROM {key}_stops))
-            SELECT DISTINCT w.flow_id, s.label FROM walk w JOIN {key}_stops s ON s.node_id = w.node""")
+                SELECT w.flow_id, f.{near}, array_append(w.path, f.{near}) FROM walk w JOIN {key}_open f ON f.{far} = w.node
+                WHERE NOT array_contains(w.path, f.{near}))
+            SELECT flow_id, node AS node_id FROM walk""")
+        return walk.join(stops, "node_id").select("flow_id", "label").distinct()
 
     back, forth = reach("source", "target"), reach("target", "source")
     # what lies behind an end event, or before a start event, is no step of the model

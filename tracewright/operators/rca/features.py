@@ -14,6 +14,7 @@ from tracewright.operators.filters import exploded_attributes, top_values
 from tracewright.operators.rca.manual import ManualProfile
 from tracewright.plans import skew
 from tracewright.plans.log import EventLog
+from tracewright.session import settle
 
 FEATURES = ["case_id", "feature", "family", "grp"]
 
@@ -47,7 +48,8 @@ def attribute_groups(values: DataFrame, n_cases: int) -> DataFrame:
 
 def value_features(values: DataFrame, cases: DataFrame, n_cases: int, family: str = "context") -> DataFrame:
     """Frequent values, quartile ranges of numbers, and "no value"."""
-    groups = F.broadcast(attribute_groups(values, n_cases))       # one row per attribute
+    values = settle(values, "case-values")
+    groups = F.broadcast(settle(attribute_groups(values, n_cases), "attributes"))       # one row per attribute
     placed = values.join(groups.select("grp", "mode", "cuts", "kind"), "grp")
     counts = placed.where("mode = 'value'").groupBy("grp", "value").agg(F.count(F.lit(1)).alias("count"))
     frequent = top_values(counts.where(F.col("count") >= fixed.MIN_CASES), ["grp"], fixed.MAX_VALUES).select("grp", "value")
@@ -100,7 +102,7 @@ def related(log: EventLog, lead: str, pop: DataFrame) -> DataFrame:
 
 
 def related_features(log: EventLog, lead: str, pop: DataFrame, n_cases: int, skip: set[tuple[str, str]]) -> DataFrame:
-    pairs = related(log, lead, pop)
+    pairs = settle(related(log, lead, pop), "related-objects")
     no_ids = [t for t, a in skip if a == "__id__"]
     names = log.objects.select("object_id", display_name().alias("label"))
     ids = (pairs.where(~F.col("object_type").isin(no_ids)).join(names, "object_id")

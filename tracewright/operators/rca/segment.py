@@ -23,15 +23,15 @@ OTHER, EMPTY = "\x00other", "\x00empty"
 def gap(segment: DataFrame, rest: DataFrame, binary: bool) -> dict[str, Any]:
     """Sizes, means (and medians), their difference and a two-sided p-value."""
     a, b = ST.totals(segment).first(), ST.totals(rest).first()
-    out = {"n_seg": a["N"], "n_rest": b["N"], "m_seg": a["S"] / a["N"], "m_rest": b["S"] / b["N"]}
+    out = {"n_seg": a["n_all"], "n_rest": b["n_all"], "m_seg": a["s_all"] / a["n_all"], "m_rest": b["s_all"] / b["n_all"]}
     out["gap"] = out["m_seg"] - out["m_rest"]
     if binary:
-        bad, bad_rest = int(a["S"]), int(b["S"])
-        out["p"] = ST.fisher(bad, a["N"] - bad, bad_rest, b["N"] - bad_rest, two_sided=True)
+        bad, bad_rest = int(a["s_all"]), int(b["s_all"])
+        out["p"] = ST.fisher(bad, a["n_all"] - bad, bad_rest, b["n_all"] - bad_rest, two_sided=True)
     else:
         both = segment.select("case_id", "y").unionByName(rest.select("case_id", "y"))
         ranks = segment.join(ST.mid_ranks(both), "y").agg(F.sum("rank").alias("r")).first()["r"]
-        out["p"] = ST.mann_whitney(ranks, a["N"], b["N"], ST.tie_sum(both).first()["ties"], two_sided=True)
+        out["p"] = ST.mann_whitney(ranks, a["n_all"], b["n_all"], ST.tie_sum(both).first()["ties"], two_sided=True)
         for name, part in (("med_seg", segment), ("med_rest", rest)):
             out[name] = ranked_values(part, [], "y", ST.WIDTH).agg(median("y").alias("m")).first()["m"]
     out["worse"] = out["gap"] > 0 and out["p"] <= fixed.Q_MAX
@@ -42,8 +42,8 @@ def _top_or_other(values: DataFrame) -> DataFrame:
     counts = values.groupBy("grp", "value").agg(F.count(F.lit(1)).alias("count"))
     top = top_values(counts, ["grp"], CATEGORIES).select("grp", F.col("value").alias("kept"))
     # at most 12 values per attribute
-    return values.join(F.broadcast(top), (values["grp"] == top["grp"]) & (values["value"] == top["kept"]), "left").select(
-        "case_id", values["grp"], F.coalesce("kept", F.lit(OTHER)).alias("cat"))
+    marked = values.join(F.broadcast(top.withColumnRenamed("kept", "value").withColumn("kept", F.lit(True))), ["grp", "value"], "left")
+    return marked.select("case_id", "grp", F.when(F.col("kept"), F.col("value")).otherwise(OTHER).alias("cat"))
 
 
 def categories(log: EventLog, cases: DataFrame, lead: str, skip: set[tuple[str, str]], n_cases: int) -> DataFrame:
@@ -72,17 +72,17 @@ def mix_effects(segment: DataFrame, rest: DataFrame, cats: DataFrame) -> DataFra
     part = (share in the segment - share in the rest) x (mean of the category in the rest - mean of the rest).
     """
     a, b = ST.totals(segment).first(), ST.totals(rest).first()
-    overall = b["S"] / b["N"]
+    overall = b["s_all"] / b["n_all"]
     sums = lambda part, side: cats.join(part.select("case_id", "y"), "case_id").groupBy("grp", "cat").agg(
         F.count(F.lit(1)).alias(f"n_{side}"), F.sum("y").alias(f"s_{side}"))
     both = sums(segment, "seg").join(sums(rest, "rest"), ["grp", "cat"], "full_outer").na.fill(0)
     # cases without a value are a category of their own
     filled = both.groupBy("grp").agg(*[F.sum(f"{x}_{s}").alias(f"{x}_{s}") for s in ("seg", "rest") for x in ("n", "s")])
-    none = filled.select("grp", F.lit(EMPTY).alias("cat"), (F.lit(a["N"]) - F.col("n_seg")).alias("n_seg"), (F.lit(a["S"]) - F.col("s_seg")).alias("s_seg"),
-                         (F.lit(b["N"]) - F.col("n_rest")).alias("n_rest"), (F.lit(b["S"]) - F.col("s_rest")).alias("s_rest"))
+    none = filled.select("grp", F.lit(EMPTY).alias("cat"), (F.lit(a["n_all"]) - F.col("n_seg")).alias("n_seg"), (F.lit(a["s_all"]) - F.col("s_seg")).alias("s_seg"),
+                         (F.lit(b["n_all"]) - F.col("n_rest")).alias("n_rest"), (F.lit(b["s_all"]) - F.col("s_rest")).alias("s_rest"))
     both = both.unionByName(none.where("n_seg > 0 OR n_rest > 0"))
     m_rest = F.when(F.col("n_rest") >= 5, F.col("s_rest") / F.col("n_rest")).otherwise(F.lit(overall))
-    w_seg, w_rest = F.col("n_seg") / F.lit(float(a["N"])), F.col("n_rest") / F.lit(float(b["N"]))
+    w_seg, w_rest = F.col("n_seg") / F.lit(float(a["n_all"])), F.col("n_rest") / F.lit(float(b["n_all"]))
     out = both.select("grp", "cat", w_seg.alias("w_seg"), w_rest.alias("w_rest"), m_rest.alias("m_rest"))
     return out.withColumn("part", (F.col("w_seg") - F.col("w_rest")) * (F.col("m_rest") - F.lit(overall)))
 

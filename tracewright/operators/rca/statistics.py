@@ -8,16 +8,22 @@ feature: group counts, sums and rank sums. The rest of the population is always
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.functions.spread import median, ranked_values
 
 WIDTH = 1.0      # days per bin of the exact medians
 
+# the two small functions below travel with the job: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # ---- tail probabilities of one feature -------------------------------------
 _log_factorial = np.vectorize(lambda k: math.lgamma(k + 1.0), otypes=[float])
@@ -67,19 +73,19 @@ def mann_whitney(rank_sum: float, n1: int, n2: int, ties: float, two_sided: bool
     return min(1.0, 2 * p) if two_sided else p
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ranks_greater(rank_sum: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([mann_whitney(r, int(x), int(y), t) for r, x, y, t in zip(rank_sum, n1, n2, ties)])
 
 
 # ---- effects ---------------------------------------------------------------
 def totals(pop: DataFrame) -> DataFrame:
-    return pop.agg(F.count(F.lit(1)).alias("N"), F.sum("y").alias("S"))
+    return pop.agg(F.count(F.lit(1)).alias("n_all"), F.sum("y").alias("s_all"))
 
 
 def group_sums(pop: DataFrame, features: DataFrame) -> DataFrame:
@@ -95,8 +101,8 @@ def _with_total(df: DataFrame, pop: DataFrame) -> DataFrame:
 
 def binary_effects(pop: DataFrame, features: DataFrame) -> DataFrame:
     """Rates in and outside the group, their difference, lift and excess cases."""
-    g = _with_total(group_sums(pop, features), pop).where(F.col("n") < F.col("N"))
-    m_g, m_r = F.col("s") / F.col("n"), (F.col("S") - F.col("s")) / (F.col("N") - F.col("n"))
+    g = _with_total(group_sums(pop, features), pop).where(F.col("n") < F.col("n_all"))
+    m_g, m_r = F.col("s") / F.col("n"), (F.col("s_all") - F.col("s")) / (F.col("n_all") - F.col("n"))
     out = g.withColumns({"m_g": m_g, "m_r": m_r})
     lift = F.when(F.col("m_r") > 0, F.col("m_g") / F.col("m_r")).when(F.col("m_g") > 0, F.lit(float("inf"))).otherwise(1.0)
     return out.withColumns({"diff": F.col("m_g") - F.col("m_r"), "lift": lift,
@@ -135,10 +141,10 @@ def rest_medians(pop: DataFrame, features: DataFrame) -> DataFrame:
 
 def duration_effects(pop: DataFrame, features: DataFrame) -> DataFrame:
     """Means and medians in and outside the group; the difference is that of the medians."""
-    g = _with_total(group_sums(pop, features), pop).where(F.col("n") < F.col("N"))
+    g = _with_total(group_sums(pop, features), pop).where(F.col("n") < F.col("n_all"))
     inside = features.select("case_id", "feature").join(pop.select("case_id", "y"), "case_id")
     med = ranked_values(inside, ["feature"], "y", WIDTH).groupBy("feature").agg(median("y").alias("med_g"))
-    out = g.withColumns({"m_g": F.col("s") / F.col("n"), "m_r": (F.col("S") - F.col("s")) / (F.col("N") - F.col("n"))})
+    out = g.withColumns({"m_g": F.col("s") / F.col("n"), "m_r": (F.col("s_all") - F.col("s")) / (F.col("n_all") - F.col("n"))})
     return out.join(med, "feature").join(rest_medians(pop, features), "feature").withColumns({
         "diff": F.col("med_g") - F.col("med_r"), "excess": (F.col("m_g") - F.col("m_r")) * F.col("n")})
 
@@ -162,13 +168,13 @@ def p_values(pop: DataFrame, features: DataFrame, binary: bool) -> DataFrame:
     """(feature, p): chance of an effect at least this big, one-sided."""
     if binary:
         g = _with_total(group_sums(pop, features), pop)
-        return g.select("feature", fisher_greater("s", F.col("n") - F.col("s"), F.col("S") - F.col("s"),
-                                                  F.col("N") - F.col("n") - F.col("S") + F.col("s")).alias("p"))
+        return g.select("feature", fisher_greater("s", F.col("n") - F.col("s"), F.col("s_all") - F.col("s"),
+                                                  F.col("n_all") - F.col("n") - F.col("s_all") + F.col("s")).alias("p"))
     ranked = features.join(pop.select("case_id", "y"), "case_id").join(mid_ranks(pop), "y")
     sums = _with_total(ranked.groupBy("feature").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n")), pop)
     one = F.lit(1).alias("k")
     sums = sums.select("*", one).join(F.broadcast(tie_sum(pop).select("ties", one)), "k")
-    return sums.select("feature", ranks_greater("r", "n", F.col("N") - F.col("n"), "ties").alias("p"))
+    return sums.select("feature", ranks_greater("r", "n", F.col("n_all") - F.col("n"), "ties").alias("p"))
 
 
 def adjusted_p(tested: DataFrame, candidates: int) -> DataFrame:
