@@ -138,8 +138,8 @@ def event_rows(mapping: Mapping, rule: EventRule, table: DataFrame, ordinal: int
     activity, outcome = event_activity(rule)
     ts = S.event_time(rule.timestamp, types.get(rule.timestamp), rule.time)
     if rule.row_key:
-        rows = table.withColumn("__ord", row_order(table, ordinal, list(rule.row_key)))
-        rows = rows.withColumn("__event_id", F.col("__ord"))
+        # a declared row key gives the id and, through it, the place among ties
+        rows = table.withColumns({"__event_id": row_order(table, ordinal, list(rule.row_key)), "__ord": F.lit(None).cast("string")})
     else:
         rows = numbered_copies(table, "__copy")
         rows = rows.withColumn("__ord", F.concat_ws("|", row_order(rows, ordinal, table.columns),
@@ -388,11 +388,12 @@ def merge_logs(previous: EventLog, new: EventLog) -> tuple[EventLog, DataFrame]:
     fresh = (event_content(new).join(seen, "content", "left_anti")
              .groupBy("content").agg(F.min(F.struct("ord", "event_id")).alias("first"))
              .select(F.col("first.event_id").alias("event_id"), "content"))
-    fresh_events = new.events.join(fresh, "event_id")
-    fresh_links = new.e2o.join(fresh, "event_id")
+    placed = lambda df: df.withColumn("ord", F.coalesce("ord", "event_id"))
+    fresh_events = placed(new.events.join(fresh, "event_id"))
+    fresh_links = placed(new.e2o.join(fresh, "event_id"))
     new_id = F.concat(F.lit("m|"), F.col("content"))
-    events = previous.events.unionByName(fresh_events.withColumn("event_id", new_id).drop("content"))
-    e2o = previous.e2o.unionByName(fresh_links.withColumn("event_id", new_id).drop("content").select(*_E2O))
+    events = placed(previous.events).unionByName(fresh_events.withColumn("event_id", new_id).drop("content"))
+    e2o = placed(previous.e2o).unionByName(fresh_links.withColumn("event_id", new_id).drop("content").select(*_E2O))
     counts = object_counts.unpivot([], ["added_objects", "updated_objects"], "measure", "value").unionByName(
         fresh.agg(F.count(F.lit(1)).alias("value")).select(F.lit("added_events").alias("measure"), "value"))
     return EventLog(objects, events, e2o, new.skips), counts
@@ -405,6 +406,6 @@ def renumbered(log: EventLog) -> DataFrame:
     per_day = day.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     before = per_day.select("day", F.coalesce(F.sum("n").over(
         Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("day").orderBy("ts", "ord"))
+    rank = F.row_number().over(Window.partitionBy("day").orderBy("ts", "ord", "event_id"))
     return (day.withColumn("rank", rank).join(F.broadcast(before), "day")
             .select("event_id", F.concat(F.lit("e"), (F.col("rank") + F.col("before")).cast("string")).alias("number")))

@@ -209,7 +209,7 @@ def deviating_edges(tasks: DataFrame, allowed: DataFrame, extra: DataFrame, seen
 
 def compare(log: EventLog, lead: str, m: ProcessModel, steps: DataFrame | None = None, labels: DataFrame | None = None,
             variant_ids: Sequence[int] | None = None) -> Overlay:
-    seq = settle(case_sequence(log, lead).select("lead_id", "activity", "ts", "ord"), "cases")
+    seq = settle(case_sequence(log, lead).select("lead_id", "event_id", "activity", "ts", "ord"), "cases")
     total = seq.agg(F.countDistinct("lead_id").alias("n")).first()["n"]
     chosen, selected = None, total
     if variant_ids is not None:

@@ -128,12 +128,12 @@ class Variants:
 def variants(seq: DataFrame, flags: bool = False) -> Variants:
     """Group cases by their sequence of activities, consecutive repeats counted once.
 
-    ``seq`` holds (lead_id, activity, ts, ord). A case is summed up by an
+    ``seq`` holds (lead_id, event_id, activity, ts, ord). A case is summed up by an
     order-sensitive signature, never by gathering its events; the steps are
     written out for one case per variant. With ``flags`` a step also tells
     whether it was repeated.
     """
-    seq = settle(seq.select("lead_id", "activity", "ts", "ord"), "case-events")
+    seq = settle(seq.select("lead_id", "event_id", "activity", "ts", "ord"), "case-events")
     hot = skew.hot_keys(seq, "lead_id")
     marked = skew.neighbours(seq, "lead_id", ORDER, previous={"before": "activity"}, following={"after": "activity"},
                              hot=hot)

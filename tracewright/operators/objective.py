@@ -37,8 +37,8 @@ def category_attributes(log: EventLog) -> DataFrame:
 def object_ends(log: EventLog, *types: str) -> DataFrame:
     """First and last activity and number of different activities per object."""
     return log.links_of(*types).groupBy("object_type", "object_id").agg(
-        F.min_by("activity", F.struct("ts", "ord")).alias("first_activity"),
-        F.max_by("activity", F.struct("ts", "ord")).alias("last_activity"),
+        F.min_by("activity", F.struct("ts", "ord", "event_id")).alias("first_activity"),
+        F.max_by("activity", F.struct("ts", "ord", "event_id")).alias("last_activity"),
         # two is all that matters: no set of activities is gathered
         (F.min("activity") != F.max("activity")).alias("several"))
 

@@ -59,7 +59,7 @@ def categories(log: EventLog, cases: DataFrame, lead: str, skip: set[tuple[str,
     side = log.links.where((F.col("object_type") != lead) & ~F.col("object_type").isin(no_ids)).select(
         "event_id", "object_id", "object_type", "ts", "ord")
     first = skew.incidence_join(own, side, "event_id", log.hot_events).groupBy("case_id", "object_type").agg(
-        F.min(F.struct("ts", "ord", "object_id")).alias("f"))
+        F.min(F.struct("ts", "ord", "event_id", "object_id")).alias("f"))
     names = log.objects.select("object_id", FE.display_name().alias("value"))
     related = first.select("case_id", F.concat(F.lit("rel:"), "object_type").alias("grp"), F.col("f.object_id").alias("object_id")).join(
         names, "object_id").select("case_id", "grp", "value")

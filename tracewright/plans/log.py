@@ -11,7 +11,8 @@ from tracewright.functions import fixed
 from tracewright.plans import skew
 from tracewright.session import prepare, settle
 
-ORDER = ("ts", "ord")
+# order of the events of an object; ``ord`` is only filled where the event id does not give a place among ties
+ORDER = ("ts", "ord", "event_id")
 
 
 class EventLog:

@@ -39,9 +39,10 @@ def append_batch(mapping: Mapping, tables: Tables, path: str, batch: int) -> Non
     fresh = settle(content.groupBy("content").agg(F.min(F.struct("ord", "event_id")).alias("x")).select(
         "content", F.col("x.event_id").alias("event_id")), "fresh-events")
     new_id = F.concat(F.lit("m|"), F.col("content"))
+    named = lambda df: df.join(fresh, "event_id").withColumn("ord", F.coalesce("ord", "event_id")).withColumn("event_id", new_id).drop("content")
     writes = {"objects": log.objects,
-              "events": log.events.join(fresh, "event_id").withColumn("event_id", new_id).drop("content"),
-              "e2o": log.e2o.join(fresh, "event_id").withColumn("event_id", new_id).drop("content"),
+              "events": named(log.events),
+              "e2o": named(log.e2o),
               "seen": fresh.select("content")}
     for part, df in writes.items():
         df.write.mode("overwrite").parquet(f"{path}/{part}/batch={batch}")
