@@ -13,6 +13,7 @@ from tracewright.functions.spread import spread
 from tracewright.operators import model
 from tracewright.plans import skew
 from tracewright.plans.log import ORDER, EventLog
+from tracewright.session import settle
 
 
 def activity_ranking(links: DataFrame) -> DataFrame:
@@ -60,6 +61,8 @@ def passages(log: EventLog, links: DataFrame) -> DataFrame:
 def edges(steps: DataFrame) -> DataFrame:
     """Edges with passages, objects and duration statistics (seconds)."""
     key = ["object_type", "source", "target"]
+    # counts and times both read the steps: the ordered pass over all events runs once
+    steps = settle(steps, "passages")
     # passages per object first: combined before the shuffle, and distinct objects come for free
     per_object = steps.groupBy(*key, "object_id").agg(F.count(F.lit(1)).alias("n"))
     counts = per_object.groupBy(*key).agg(F.sum("n").alias("passages"), F.count(F.lit(1)).alias("objects"))
