@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,13 +33,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the one the cluster names, else one of our own.
 
-    Our own folder is only made where nothing is configured (local tests).
+    Our own folder is only made where nothing is configured and everything runs
+    in one process (local tests).
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     own = os.environ.get("TRACEWRIGHT_SCRATCH") or tempfile.mkdtemp(prefix="tracewright-")
     sc.setCheckpointDir(own)
