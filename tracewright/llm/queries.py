@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontamination, language, secrets, sharding
+from tracewright.llm import decontamination, html, language, minhash, secrets, sharding
 
 SHARDS = 8
 
@@ -45,5 +45,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("secrets")).alias("spans"))
 
 
-Q = {f.__name__: f for f in (op2_sharding, op3_decontamination, op5_language, op6_secrets)}
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).withColumn("n_chars", html.n_chars())
+
+
+Q = {f.__name__: f for f in (op2_sharding, op3_decontamination, op5_language, op6_secrets, op7_minhash, op9_html)}
 SQL: dict[str, str] = {}
