@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontamination, html, language, minhash, secrets, sharding
+from tracewright.llm import chat, decontamination, html, language, minhash, mixing, neighbours, secrets, sharding
 
 SHARDS = 8
+WEIGHTS = {"clean": 0.80, "low": 0.17, "toxic": 0.03}
+DOMAIN = F.expr("case when toxic = 1 then 'toxic' when quality = 1 then 'clean' when quality = 0 then 'low' end")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)[0]
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")))
@@ -30,6 +36,12 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mix = mixing.fit(docs, mixing.train(docs, table(spark, sf_dir, "labels"), DOMAIN), WEIGHTS)
+    return mixing.apply(docs, mix, carry=["doc_id", "source"])
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(~held_out()))
@@ -49,9 +61,21 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(chat.maximal(table(spark, sf_dir, "conversations")))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).withColumn("n_chars", html.n_chars())
 
 
-Q = {f.__name__: f for f in (op2_sharding, op3_decontamination, op5_language, op6_secrets, op7_minhash, op9_html)}
-SQL: dict[str, str] = {}
+Q = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_decontamination, op4_mixing, op5_language, op6_secrets, op7_minhash, op8_chat, op9_html)}
+SQL: dict[str, str] = {
+    "op8_chat": """
+        with logs as (select conv_id, list(struct_pack(r := coalesce(role, 'unknown'), t := coalesce(text, '')) order by turn, role, text) as turns
+                      from conversations group by conv_id),
+             one as (select min(conv_id) as conv_id, turns, count(*) as copies from logs group by turns)
+        select a.conv_id, len(a.turns) as n_turns, a.copies,
+               array_to_string(list_transform(a.turns, x -> '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>'), chr(10)) as text
+        from one a where not exists (select 1 from one b where b.turns[1] = a.turns[1] and len(b.turns) > len(a.turns) and b.turns[1:len(a.turns)] = a.turns)""",
+}
