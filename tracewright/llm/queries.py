@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, decontamination, html, language, minhash, mixing, neighbours, secrets, sharding
+from tracewright.llm import chat, decontamination, html, language, minhash, mixing, neighbours, secrets, sharding, suffixes
 
 SHARDS = 8
 WEIGHTS = {"clean": 0.80, "low": 0.17, "toxic": 0.03}
@@ -69,7 +69,13 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).withColumn("n_chars", html.n_chars())
 
 
-Q = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_decontamination, op4_mixing, op5_language, op6_secrets, op7_minhash, op8_chat, op9_html)}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return (suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"))
+
+
+Q = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_decontamination, op4_mixing, op5_language, op6_secrets, op7_minhash, op8_chat, op9_html, op10_suffixes)}
 SQL: dict[str, str] = {
     "op8_chat": """
         with logs as (select conv_id, list(struct_pack(r := coalesce(role, 'unknown'), t := coalesce(text, '')) order by turn, role, text) as turns
