@@ -85,8 +85,7 @@ def _joined(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _refine(threshold: float):
-    def refine(group: pa.Table) -> pa.Table:
-        """Compares all vectors around each centre: entries better than what their lists hold, and ties at the threshold."""
+    def around(group: pa.Table) -> list[tuple]:
         order = np.argsort(group["centre"].to_numpy(), kind="stable")
         centre, node, worst = (group[c].to_numpy()[order] for c in ("centre", "node", "worst"))
         x = _matrix(group["vec"], np.float32)[order]
@@ -106,6 +105,14 @@ def _refine(threshold: float):
             if linked.any():
                 i, j = _joined(linked)
                 rows.append((ids[i], ids[j], np.ones(len(i)), np.ones(len(i), bool)))
+        return rows
+
+    def refine(group: pa.Table) -> pa.Table:
+        """Compares all vectors around each centre: entries better than what their lists hold, and ties at the threshold."""
+        rows = []
+        lengths = group["vec"].combine_chunks().value_lengths().to_numpy()
+        for n in np.unique(lengths):       # vectors around one centre are of one length
+            rows += around(group.take(pa.array(np.flatnonzero(lengths == n))))
         a, b, cos, tie = (np.concatenate(c) for c in zip(*rows, strict=True))
         return pa.table({"a": a, "b": b, "cos": cos, "tie": tie})
     return refine
