@@ -7,10 +7,11 @@ of similarity s meet in some table with probability
 (1 - (1 - s ** rows) ** sides) squared.
 
 Documents with equal sets are one node. In each bucket every node is compared
-with one representative, in three rounds with other representatives, only where
-a bucket still holds several components; what is left after that is compared
-pair by pair between the components of a bucket. So a bucket of a
-thousand copies gives about a thousand comparisons, and no link is lost.
+with one representative, the smallest node. Only buckets that still hold several
+components go on: their nodes meet block against block, and a task that compares
+two blocks gives back one link for each two components at most. So a bucket of a
+thousand copies gives about a thousand comparisons, no group meets in one task,
+no pairs are written out, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from tracewright.llm.graphs import components
 from tracewright.session import settle
 
 SIDES, ROWS = 7, 2         # 49 tables from 28 minhashes; a pair at 0.85 is met with probability 0.9997
-STAR_ROUNDS = 3            # rounds of representatives before pairs are compared one by one
+BLOCK = 256                # nodes of a group that are compared at once with as many others
+COLUMNS = 8192             # shingles taken at a time there
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +114,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b"))
 
 
+def _linked_block(percent: int):
+    def compare(group: pa.Table) -> pa.Table:
+        """One link for each two components that have one between the two blocks of the group."""
+        sides = group["side"].to_numpy()
+        nodes, roots = group["node"].to_numpy(), group["root"].to_numpy()
+        grams = group["grams"].combine_chunks()
+        sizes = np.diff(grams.offsets.to_numpy())
+        _, at, often = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = often > 1                 # others are in no intersection
+        column = np.cumsum(shared) - 1
+        keep = shared[at]
+        row, col = np.repeat(np.arange(len(sizes)), sizes)[keep], column[at][keep]
+        one, two = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+        both = np.zeros((len(one), len(two)), np.float32)
+        for lo in range(0, int(shared.sum()), COLUMNS):
+            table = np.zeros((len(sizes), COLUMNS), np.float32)
+            mine = (col >= lo) & (col < lo + COLUMNS)
+            table[row[mine], col[mine] - lo] = 1
+            both += table[one] @ table[two].T
+        union = sizes[one][:, None] + sizes[two][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * union) & (roots[one][:, None] != roots[two][None, :]))
+        first = {}
+        for a, b in zip(one[i], two[j], strict=True):
+            first.setdefault((min(roots[a], roots[b]), max(roots[a], roots[b])), (nodes[a], nodes[b]))
+        return pa.table({"a": pa.array([x for x, _ in first.values()], pa.int64()), "b": pa.array([y for _, y in first.values()], pa.int64())})
+    return compare
+
+
+def _between(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components (root) among the nodes of one representative.
+
+    Each group is dealt into blocks of about BLOCK nodes; each two blocks meet
+    in a task of their own and are compared there as two tables of ones and
+    zeros. Side 0 and 1 are the blocks; 2 is a block against itself.
+    """
+    groups = rest.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = (rest.join(settle(groups, "minhash-blocks"), "rep").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("rep", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
+    return dealt.join(sets, "node").groupBy("rep", "i", "j").applyInArrow(_linked_block(percent), "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, sides: int = SIDES, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -142,24 +187,16 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     pairs = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
     links = settle(_confirmed(pairs, sets, percent), "minhash-links")
     roots = settle(components(links), "minhash-roots")
-    for turn in range(1, STAR_ROUNDS + 1):
-        placed = members.select("slot", "node").join(roots, "node", "left").select("slot", "node", F.coalesce("root", "node").alias("root"))
-        open_slots = settle(placed.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                                       F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("rep")).where("low < high"), "minhash-open")
-        rest = settle(placed.join(open_slots.select("slot", "rep"), "slot"), "minhash-rest")
-        if rest.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            pairs = rest.select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).where("a <> b").distinct()
-        else:
-            other = rest.select("slot", F.col("node").alias("b"), F.col("root").alias("other"))
-            pairs = rest.join(other, "slot").where("root < other").select(F.col("node").alias("a"), "b").distinct()
-        links = settle(links.unionByName(_confirmed(pairs, sets, percent)), "minhash-links")
-        roots = settle(components(links), "minhash-roots")
+    placed = members.join(roots, "node", "left").select("slot", "rep", "node", F.coalesce("root", "node").alias("root"))
+    open_slots = placed.groupBy("slot").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest < highest").select("slot")
+    rest = settle(placed.join(settle(open_slots, "minhash-open"), "slot").select("rep", "node", "root").distinct(), "minhash-rest")
+    more = settle(_between(rest, sets, percent), "minhash-links")
+    if not more.isEmpty():
+        roots = settle(components(links.unionByName(more)), "minhash-roots")
 
     low = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = settle(low.groupBy("root").agg(F.min("low").alias("component_id")), "minhash-groups")
-    named = settle(low.join(groups, "root").select("node", "component_id"), "minhash-named")
+    groups = low.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = settle(low.join(settle(groups, "minhash-groups"), "root").select("node", "component_id"), "minhash-named")
     joined = some.join(named, "node").select("c0", "n_shingles", "component_id")
     alone = scanned.where("n_shingles = 0").select("c0", "n_shingles", F.col("c0").alias("component_id"))
     return joined.unionByName(alone).select(F.col("c0").alias("doc_id"), "n_shingles", "component_id", F.col("c0").eqNullSafe(F.col("component_id")).alias("kept"))
