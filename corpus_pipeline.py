@@ -61,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-ORACLE_SQL = None      # learned models cannot be written in SQL; tests/llm compares with a plain version
+ORACLE_SQL = None      # learned models cannot be written in SQL
 
 Q = {"pipeline": run}
 SQL: dict[str, str] = {}

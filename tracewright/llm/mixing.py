@@ -27,6 +27,7 @@ BITS = 14              # words are hashed to 2 ** BITS features
 PER_DOMAIN = 1000      # labelled documents of a domain to learn from, about
 STEPS = 40             # gradient steps at most
 CLOSE = 1e-3           # enough: no domain misses its target by more than this share of all tokens
+GAIN = 0.99            # a step that leaves more of the miss than this ends the fit: the targets cannot be met more closely
 DENSE = 4              # features besides words
 
 
@@ -182,12 +183,13 @@ def fit(docs: DataFrame, model: Classifier, weights: dict[str, float], ceiling:
     root = np.sqrt(w)
     length = 1 / np.linalg.eigvalsh(root[:, None] * gram * root[None, :]).max()
     steps: list[tuple[float, ...]] = []
-    reached = have
-    while len(steps) < STEPS and np.abs(reached - target).max() > CLOSE * total:
+    reached, miss, before = have, 1.0, np.inf
+    while len(steps) < STEPS and np.abs(reached - target).max() > CLOSE * total and miss < before * GAIN:
         steps.append(tuple(length * w * (reached - target)))
         r = _rate(steps, ceiling)
         sums = rows.withColumn("rate", r).agg(*[F.sum(tokens * F.col("rate") * x) for x in p]).first()
         reached = np.array([float(x) for x in sums])
+        before, miss = (np.inf if len(steps) == 1 else miss), float(np.sqrt((w * (reached - target) ** 2).sum()))
     name = lambda v: {d: float(x) for d, x in zip(model.domains, v, strict=True)}
     return Mix(model, tuple(steps), ceiling, name(target), name(reached))
 
