@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewright.llm import decontamination, language, minhash, mixing, sharding
 from tracewright.llm.queries import DOMAIN, SHARDS, held_out, table
@@ -40,7 +41,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as the target weights allow without repeating a document."""
-    model = mixing.train(docs, table(spark, sf_dir, "labels"), DOMAIN)
+    model = mixing.train(docs, table(spark, sf_dir, "labels"), F.expr(DOMAIN))
     mix = mixing.fit(docs, model, WEIGHTS, ceiling=1.0, keep_total=False)
     return mixing.apply(docs, mix).where("copies > 0").select(*docs.columns)
 

@@ -9,7 +9,7 @@ from tracewright.llm import chat, decontamination, html, language, minhash, mixi
 
 SHARDS = 8
 WEIGHTS = {"clean": 0.80, "low": 0.17, "toxic": 0.03}
-DOMAIN = F.expr("case when toxic = 1 then 'toxic' when quality = 1 then 'clean' when quality = 0 then 'low' end")
+DOMAIN = "case when toxic = 1 then 'toxic' when quality = 1 then 'clean' when quality = 0 then 'low' end"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,7 @@ def held_out() -> Column:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mix = mixing.fit(docs, mixing.train(docs, table(spark, sf_dir, "labels"), DOMAIN), WEIGHTS)
+    mix = mixing.fit(docs, mixing.train(docs, table(spark, sf_dir, "labels"), F.expr(DOMAIN)), WEIGHTS)
     return mixing.apply(docs, mix, carry=["doc_id", "source"])
 
 
@@ -82,6 +82,6 @@ SQL: dict[str, str] = {
                       from conversations group by conv_id),
              one as (select min(conv_id) as conv_id, turns, count(*) as copies from logs group by turns)
         select a.conv_id, len(a.turns) as n_turns, a.copies,
-               array_to_string(list_transform(a.turns, x -> '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>'), chr(10)) as text
+               array_to_string(list_transform(a.turns, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>'), chr(10)) as text
         from one a where not exists (select 1 from one b where b.turns[1] = a.turns[1] and len(b.turns) > len(a.turns) and b.turns[1:len(a.turns)] = a.turns)""",
 }
