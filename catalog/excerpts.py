@@ -21,9 +21,11 @@ def c6_passages(spark, folder):
 Q["c6_passages"] = c6_passages
 # the same greedy cut, line by line
 _PASSAGES = """
-    l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS x FROM documents WHERE text IS NOT NULL)),
-    w AS (SELECT doc_id, i, substring(line, 1, 1400) || chr(10) AS now, 0 AS part FROM l WHERE i = 1
-        UNION ALL SELECT l.doc_id, l.i, CASE WHEN length(w.now) + length(l.line) + 1 > 700 THEN '' ELSE w.now END || substring(l.line, 1, 1400) || chr(10),
+    n AS (SELECT doc_id, generate_subscripts(x, 1) AS no, unnest(x) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS x FROM documents WHERE text IS NOT NULL)),
+    l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no, k) AS i, substring(line, k * 1400 + 1, 1400) AS line
+        FROM (SELECT doc_id, no, line, unnest(range(0, greatest((length(line) + 1399) // 1400, 1))) AS k FROM n)),
+    w AS (SELECT doc_id, i, line || chr(10) AS now, 0 AS part FROM l WHERE i = 1
+        UNION ALL SELECT l.doc_id, l.i, CASE WHEN length(w.now) + length(l.line) + 1 > 700 THEN '' ELSE w.now END || l.line || chr(10),
             w.part + CASE WHEN length(w.now) + length(l.line) + 1 > 700 THEN 1 ELSE 0 END
         FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1),
     p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS place, t FROM (
@@ -41,12 +43,14 @@ _SCORED = "s AS (" + " UNION ALL ".join(
 
 
 def c6_scores(spark, folder):
-    s = E.scored_passages(E.passages(table(spark, folder, "documents"), kind="source"), TOPICS)
+    kind = F.when(F.col("source") == "src0", "manual").when(F.col("source") == "src1", "data_dictionary").otherwise("other")
+    s = E.scored_passages(E.passages(table(spark, folder, "documents").withColumn("kind", kind), kind="kind"), TOPICS)
     return s.select("topic", "doc", "place", F.round("score", 4).alias("score"))
 
 
 Q["c6_scored_passages"] = c6_scores
-SQL["c6_scored_passages"] = f"WITH RECURSIVE {_PASSAGES}, {_SCORED} SELECT topic, doc, place, score::DOUBLE AS score FROM s"
+SQL["c6_scored_passages"] = f"""WITH RECURSIVE {_PASSAGES}, {_SCORED}
+    SELECT topic, doc, place, round(score * CASE source WHEN 'src0' THEN 1.3 WHEN 'src1' THEN 2 ELSE 1 END, 4)::DOUBLE AS score FROM s JOIN documents ON doc_id = doc"""
 
 
 def c6_excerpts(spark, folder):

@@ -26,11 +26,11 @@ PARTS: dict[str, str] = {
         UNION ALL SELECT 'Supplier:' || s_suppkey, 'Supplier', unnest(['s_name', 's_nationkey']), unnest([s_name, s_nationkey::VARCHAR]) FROM supplier
         UNION ALL SELECT 'Part:' || p_partkey, 'Part', unnest(['p_brand', 'p_type']), unnest([p_brand, p_type]) FROM part""",
     "ev": """
-        SELECT '1|' || lpad(o_orderkey::VARCHAR, 12, '0') AS event_id, 'Place Order' AS activity, o_orderdate AS ts,
+        SELECT '1|' || lpad((o_orderkey::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') AS event_id, 'Place Order' AS activity, o_orderdate AS ts,
             'Place Order' AS event_group, o_orderkey AS ok, NULL AS ln, o_custkey AS ck, NULL AS pk, NULL AS sk, NULL AS l_linestatus FROM orders
         UNION ALL
-        SELECT '2|' || lpad(l_orderkey::VARCHAR, 12, '0') || '|' || lpad(l_linenumber::VARCHAR, 12, '0') || '|' || lpad(l_partkey::VARCHAR, 12, '0')
-            || '|' || lpad(l_suppkey::VARCHAR, 12, '0') || '|' || lpad(l_quantity::DECIMAL(20,2)::VARCHAR, 16, '0') || '|' || lpad(l_extendedprice::DECIMAL(20,2)::VARCHAR, 16, '0'),
+        SELECT '2|' || lpad((l_orderkey::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') || '|' || lpad((l_linenumber::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') || '|' || lpad((l_partkey::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0')
+            || '|' || lpad((l_suppkey::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') || '|' || lpad((l_quantity::DECIMAL(22,2) + 100000000000000000000.00::DECIMAL(24,2))::VARCHAR, 24, '0') || '=' || l_quantity::VARCHAR || '|' || lpad((l_extendedprice::DECIMAL(22,2) + 100000000000000000000.00::DECIMAL(24,2))::VARCHAR, 24, '0') || '=' || l_extendedprice::VARCHAR,
             CASE l_returnflag WHEN 'N' THEN 'Ship Item' WHEN 'R' THEN 'Return Item' ELSE 'Accept Item' END, l_shipdate, 'Item',
             l_orderkey, l_linenumber, NULL, l_partkey, l_suppkey, l_linestatus FROM lineitem""",
     "e2o": """

@@ -71,7 +71,7 @@ START_OBJECTS, START_SHARE = 5, 0.5
 # log model
 HUB_AVERAGE, HUB_RATIO, LIFECYCLE_AVERAGE = 8, 4, 1.5
 FILTER_VALUES = 2000
-HISTOGRAM_BINS, VARIANTS_SHOWN = 12, 300
+HISTOGRAM_BINS = 12
 CATEGORY_VALUES = 12
 DAY = 86400.0
 # root cause

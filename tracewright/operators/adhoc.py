@@ -61,7 +61,7 @@ def matching(table: DataFrame, where: Sequence[dict] = ()) -> DataFrame:
 
 def group_counts(table: DataFrame, by: Sequence[str], where: Sequence[dict] = (), limit: int = fixed.GROUPS_SHOWN) -> DataFrame:
     """The most frequent combinations of values, with the number of all combinations."""
-    labels = [F.coalesce(F.nullif(F.substring(cell(c), 1, fixed.CELL_CHARS), F.lit("")), F.lit(fixed.EMPTY_LABEL)).alias(c) for c in by]
+    labels = [F.coalesce(F.nullif(cell(c), F.lit("")), F.lit(fixed.EMPTY_LABEL)).alias(c) for c in by]
     counts = matching(table, where).select(*labels).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
     one = F.lit(1).alias("k")
     top = counts.orderBy(F.desc("rows"), *by).limit(limit).select("*", one)

@@ -14,18 +14,26 @@ WEIGHTS = {"data_dictionary": 2.0, "manual": 1.3, "procedure": 1.2, "bpmn": 1.0,
 
 
 def chunks(text: str = "text") -> Column:
-    """Passages of about 700 characters that never split a line. Array of texts.
+    """Passages of about 700 characters. Array of texts.
 
     One fold over the lines of a text: a line that would make the current
-    passage too long starts the next one.
+    passage too long starts the next one. A line of more than two passages is
+    cut into pieces of that length; nothing but white space around a passage is
+    left out.
     """
     size = fixed.CHUNK_CHARS
-    lines = F.split(text, r"\r\n|\r|\n")
+    longest = 2 * size
+
+    def cut(line: Column) -> Column:
+        last = F.greatest(F.floor((F.length(line) - 1) / longest), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(line, i * longest + 1, F.lit(longest)))
+
+    lines = F.flatten(F.transform(F.split(text, r"\r\n|\r|\n"), cut))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(acc: Column, line: Column) -> Column:
         full = (F.length(acc["now"]) + F.length(line) + 1 > size) & (acc["now"] != "")
-        add = F.concat(F.substring(line, 1, 2 * size), F.lit("\n"))
+        add = F.concat(line, F.lit("\n"))
         return F.struct(F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
                         F.when(full, add).otherwise(F.concat(acc["now"], add)).alias("now"))
 
@@ -81,11 +89,12 @@ def pick_excerpts(scored: DataFrame, budget: int = fixed.EXCERPT_CHARS) -> DataF
     # at most budget x (1 + 1/2 + 1/3 + ...) candidates per topic remain
     entry = F.struct((-F.col("score")).alias("s"), "doc", "place", "size")
     listed = reach.groupBy("topic").agg(F.array_sort(F.collect_list(entry)).alias("c"))
-    empty = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<doc:bigint,place:int>>").alias("taken"))
+    id_type = scored.schema["doc"].dataType.simpleString()
+    empty = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<struct<doc:{id_type},place:int>>").alias("taken"))
 
     def step(acc: Column, c: Column) -> Column:
         fits = acc["used"] + c["size"] <= budget
-        key = F.struct(c["doc"].cast("bigint").alias("doc"), c["place"].alias("place"))
+        key = F.struct(c["doc"].alias("doc"), c["place"].alias("place"))
         return F.struct(F.when(fits, acc["used"] + c["size"]).otherwise(acc["used"]).alias("used"),
                         F.when(fits, F.array_append(acc["taken"], key)).otherwise(acc["taken"]).alias("taken"))
 

@@ -14,8 +14,6 @@ from tracewright.plans import skew
 from tracewright.plans.log import ORDER, EventLog
 from tracewright.session import settle
 
-STEPS_SHOWN = 100_000      # longest variant whose steps are put in one array
-
 
 def sequences(log: EventLog, *types: str) -> DataFrame:
     """Events of each object in order: seq counts from 1, events without time come last."""
@@ -135,23 +133,25 @@ def variants(seq: DataFrame, flags: bool = False) -> Variants:
     """
     seq = settle(seq.select("lead_id", "event_id", "activity", "ts", "ord"), "case-events")
     hot = skew.hot_keys(seq, "lead_id")
-    marked = skew.neighbours(seq, "lead_id", ORDER, previous={"before": "activity"}, following={"after": "activity"},
-                             hot=hot)
-    marked = marked.withColumns({
-        "is_step": (F.col("before").isNull() | (F.col("before") != F.col("activity"))).cast("int"),
-        "repeated": F.coalesce(F.col("after") == F.col("activity"), F.lit(False)) if flags else F.lit(False)})
-    steps = skew.neighbours(marked, "lead_id", ORDER, running={"step_no": "is_step"}, hot=hot)
+
+    def steps_of(part: DataFrame) -> DataFrame:
+        marked = skew.neighbours(part, "lead_id", ORDER, previous={"before": "activity"}, following={"after": "activity"}, hot=hot)
+        marked = marked.withColumns({
+            "is_step": (F.col("before").isNull() | (F.col("before") != F.col("activity"))).cast("int"),
+            "repeated": F.coalesce(F.col("after") == F.col("activity"), F.lit(False)) if flags else F.lit(False)})
+        return skew.neighbours(marked, "lead_id", ORDER, running={"step_no": "is_step"}, hot=hot)
+
     mark = lambda seed: F.bit_xor(F.when(F.col("is_step") == 1, F.xxhash64(
         F.lit(seed), "step_no", "activity", "repeated")))
-    cases = settle(steps.groupBy("lead_id").agg(
+    cases = settle(steps_of(seq).groupBy("lead_id").agg(
         F.sum("is_step").alias("length"), mark(1).alias("s1"), mark(2).alias("s2"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
         .withColumn("duration", F.unix_timestamp("last_ts") - F.unix_timestamp("first_ts")), "case-signatures")
     total = cases.count()
     groups = cases.groupBy("length", "s1", "s2").agg(F.count(F.lit(1)).alias("cases"),
                                                      F.min("lead_id").alias("lead_id"))
-    shown = (steps.where(F.col("is_step") == 1)
-             .join(groups.where(F.col("length") <= STEPS_SHOWN).select("lead_id"), "lead_id", "left_semi")
+    # only the events of one case per variant are ordered a second time
+    shown = (steps_of(seq.join(groups.select("lead_id"), "lead_id", "left_semi")).where(F.col("is_step") == 1)
              .groupBy("lead_id").agg(F.array_sort(F.collect_list(F.struct("step_no", "activity", "repeated"))).alias("x"))
              .select("lead_id", F.transform("x", lambda s: F.struct(
                  s["activity"].alias("activity"), s["repeated"].alias("repeated"))).alias("steps")))
