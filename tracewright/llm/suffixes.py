@@ -108,10 +108,14 @@ def _gram_hash(data: np.ndarray) -> np.ndarray:
     return tx.mix(tx.mix(tx.mix(w[:n]) + w[8:8 + n] * np.uint64(0x9E3779B97F4A7C15)) + w[GRAM - 8:GRAM - 8 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, hash, and first and last window (starts within the text) of each anchor of a piece."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and place of each anchor of a piece.
+
+    A place is the start of the first window (within the text), times 2 ** 16,
+    plus 2 ** 8 times the number of windows after it, plus the distance of the k-gram.
+    """
     if len(data) < length:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, np.int64),) * 3
     h = _gram_hash(data)
     owner = _slid(h, length - GRAM + 1)
     at = np.arange(len(owner))
@@ -121,16 +125,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])]) if len(at) else np.empty(0, np.int64)
     last = np.r_[new[1:], len(at)] - 1 if len(at) else new
     base = offsets[text[new]]
-    return text[new], h[owner[new]].view(np.int64), at[new] - base, at[last] - base
+    return text[new], h[owner[new]].view(np.int64), (at[new] - base) << 16 | (at[last] - at[new]) << 8 | owner[new] - at[new]
 
 
 def _scan(length: int):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tx.pieces(batches, "text"):
-            text, h, first, last = anchors(data, offsets, length)
+            text, h, place = anchors(data, offsets, length)
             at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("doc_id").take(at), batch.column("name").take(at), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                                             ["anchor", "doc_id", "name", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("doc_id").take(at), batch.column("name").take(at), pa.array(place)], ["anchor", "doc_id", "name", "place"])
     return scan
 
 
@@ -138,25 +141,22 @@ def _contexts(length: int):
     side = (length - GRAM) // 2
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in ("doc_id", "name", "text", "met")}
-                raw = (row["text"].as_py() or "").encode()
-                data = np.frombuffer(raw, np.uint8)
-                out = defaultdict(list)
-                for m in row["met"].as_py():
-                    a, e = m["first"], m["last"] + length
-                    grams = _gram_hash(data[a:e])
-                    p = int(np.flatnonzero(grams.view(np.int64) == m["anchor"])[0])       # of equal hashes a window belongs to the first
-                    part = raw[a:e]
-                    out["anchor"].append(m["anchor"])
-                    out["first"].append(a)
-                    out["context"].append(part)
-                    out["left"].append(part[p - side:p] if p >= side else None)
-                    out["right"].append(part[p + GRAM:p + GRAM + side] if len(part) >= p + GRAM + side else None)
-                n = len(out["first"])
-                yield pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array([row["doc_id"].as_py()] * n, pa.int64()), pa.array([row["name"].as_py()] * n, pa.int64()), pa.array(out["first"], pa.int32()),
-                                                  *[pa.array(out[c], pa.binary()) for c in ("context", "left", "right")]], ["anchor", "doc_id", "name", "first", "context", "left", "right"])
+        for batch, data, offsets in tx.pieces(batches, "text"):
+            raw = data.tobytes()
+            counts = batch.column("met").value_lengths().to_numpy()
+            met = batch.column("met").flatten()
+            place = met.field("place").to_numpy()
+            own = np.repeat(np.arange(len(counts)), counts)
+            first = place >> 16
+            a = first + offsets[own]
+            size = (place >> 8 & 255) + length
+            gram = place & 255
+            context = [raw[x:x + n] for x, n in zip(a.tolist(), size.tolist(), strict=True)]
+            left = [c[g - side:g] if g >= side else None for c, g in zip(context, gram.tolist(), strict=True)]
+            right = [c[g + GRAM:g + GRAM + side] if len(c) >= g + GRAM + side else None for c, g in zip(context, gram.tolist(), strict=True)]
+            at = pa.array(own)
+            yield pa.RecordBatch.from_arrays([met.field("anchor"), batch.column("doc_id").take(at), batch.column("name").take(at), pa.array(first.astype(np.int32)),
+                                              *[pa.array(x, pa.binary()) for x in (context, left, right)]], ["anchor", "doc_id", "name", "first", "context", "left", "right"])
     return cut
 
 
@@ -243,9 +243,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("name", F.xxhash64("doc_id", F.md5("text")))       # rows that agree in both share their result
-    met = rows.where("doc_id is not null").mapInArrow(_scan(length), "anchor long, doc_id long, name long, first int, last int")
+    met = rows.where("doc_id is not null").mapInArrow(_scan(length), "anchor long, doc_id long, name long, place long")
     shared = settle(met.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "repeat-anchors")
-    live = met.join(shared, "anchor").groupBy("name").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("met"))
+    live = met.join(shared, "anchor").groupBy("name").agg(F.collect_set(F.struct("anchor", "place")).alias("met"))
     found = settle(rows.join(live, "name").mapInArrow(_contexts(length), "anchor long, doc_id long, name long, first int, context binary, left binary, right binary"), "repeat-contexts")
 
     named = found.withColumn("id", F.xxhash64("anchor", "context"))
