@@ -3,7 +3,7 @@
 Every distinct vector keeps a short list of its nearest vectors. Lists start
 from buckets of random half-space codes. In each round all vectors around a
 common neighbour are compared with each other, and lists take what is nearer,
-until no new links at the threshold turn up. A list whose every entry passes the
+until no list gains an entry at the threshold. A list whose every entry passes the
 threshold may be too short for its links; so the components of the links
 found are compared whole, block against block, in double precision. This
 enlarges saturated lists to all members of their component and decides each
@@ -92,14 +92,15 @@ def _refine(threshold: float):
         cuts = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1], True])
         rows = []
         for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-            near = x[a:e] @ x[a:e].T
-            ids = node[a:e]
-            near[ids[:, None] == ids[None, :]] = -2
+            ids, first = np.unique(node[a:e], return_index=True)
+            mine, floor_of = x[a:e][first], worst[a:e][first]
+            near = mine @ mine.T
+            np.fill_diagonal(near, -2)
             if len(ids) > LIST + 1:
                 floor = np.partition(near, -LIST, axis=1)[:, -LIST]
             else:
                 floor = np.full(len(ids), -1.5, np.float32)
-            i, j = np.nonzero((near >= floor[:, None]) & (near > worst[a:e, None]) & (near > -1.5))
+            i, j = np.nonzero((near >= floor[:, None]) & (near > floor_of[:, None]) & (near > -1.5))
             rows.append((ids[i], ids[j], near[i, j].astype(float), np.zeros(len(i), bool)))
             linked = near >= threshold - SLACK
             if linked.any():
@@ -140,9 +141,24 @@ def _decide(threshold: float):
 
 
 def _lists(found: DataFrame) -> DataFrame:
-    """The LIST nearest of each node."""
-    best = found.groupBy("a", "b").agg(F.max("cos").alias("cos"))
-    return best.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("cos", "b")), asc=False), 1, LIST).alias("near"))
+    """The LIST nearest of each node; ``old`` marks what stood in the list before."""
+    best = found.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.max("old").alias("old"))
+    return best.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("cos", "b", "old")), asc=False), 1, LIST).alias("near"))
+
+
+def _around(lists: DataFrame, salt: int) -> DataFrame:
+    """(centre, node): each node with its list and the nodes that list it, where any of these entries is new.
+
+    Nodes on very many lists meet these in parts of about BLOCK, each with the whole list.
+    """
+    flat = lists.select("a", F.explode("near").alias("x")).select("a", "x.b", (~F.col("x.old")).alias("new"))
+    own = flat.select(F.col("a").alias("centre"), F.col("b").alias("node"), "new", F.lit(0).alias("back"))
+    itself = lists.select(F.col("a").alias("centre"), F.col("a").alias("node"), F.lit(False).alias("new"), F.lit(0).alias("back"))
+    back = flat.select(F.col("b").alias("centre"), F.col("a").alias("node"), "new", F.lit(1).alias("back"))
+    both = own.unionByName(itself).unionByName(back)
+    sizes = both.groupBy("centre").agg(F.greatest(F.ceil(F.sum("back") / BLOCK), F.lit(1)).cast("int").alias("parts"), F.max("new").alias("moved")).where("moved").select("centre", "parts")
+    part = F.when(F.col("back") == 1, F.array(F.pmod(F.xxhash64("node", F.lit(salt)), "parts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    return both.join(settle(sizes, "nn-parts"), "centre").select("centre", "node", F.explode(part).alias("part")).select(F.xxhash64("centre", "part").alias("centre"), "node")
 
 
 def _dealt(rows: DataFrame, area: list[str], block: int, salt: int) -> DataFrame:
@@ -165,32 +181,18 @@ def _turn(nodes: DataFrame, threshold: float, turn: int) -> DataFrame:
     for step in range(ROUNDS):
         work = members.join(slim, "node").withColumn("batch", F.pmod(F.xxhash64("centre"), F.lit(batches)))
         found = settle(work.groupBy("batch").applyInArrow(_refine(threshold), "a long, b long, cos double, tie boolean"), "nn-found")
-        new = found.where("tie").select("a", "b").distinct()
-        ties = settle(new if ties is None else ties.unionByName(new).distinct(), "nn-ties")
-        entries = found.where("not tie").select("a", "b", "cos")
+        new = found.where("tie").select("a", "b")
+        ties = new if ties is None else ties.unionByName(new)
+        entries = found.where("not tie").select("a", "b", "cos", F.lit(False).alias("old"))
         if lists is not None:
-            entries = entries.unionByName(lists.select("a", F.explode("near").alias("x")).select("a", "x.b", "x.cos"))
-        before, lists = lists, settle(_lists(entries), "nn-lists")
-        n = ties.count()
-        if n == linked:
+            entries = entries.unionByName(lists.select("a", F.explode("near").alias("x")).select("a", "x.b", "x.cos", F.lit(True).alias("old")))
+        lists = settle(_lists(entries), "nn-lists")
+        n = lists.agg(F.sum(F.size(F.filter("near", lambda x: x["cos"] >= threshold - SLACK)))).first()[0]
+        if n == linked or n is None:
             break
         linked = n
-        flat = lists.select("a", F.explode("near").alias("x")).select("a", "x.b")
-        if before is not None:      # only around nodes whose lists changed
-            flat = flat.withColumn("new", F.lit(1)).join(before.select("a", F.explode("near").alias("x")).select("a", "x.b", F.lit(1).alias("old")), ["a", "b"], "left")
-            fresh = flat.where("old is null")
-            moved = settle(fresh.select(F.col("a").alias("centre")).unionByName(fresh.select(F.col("b").alias("centre"))).distinct(), "nn-moved")
-        flat = flat.select("a", "b")
-        own = flat.select(F.col("a").alias("centre"), F.col("b").alias("node")).unionByName(lists.select(F.col("a").alias("centre"), F.col("a").alias("node")))
-        back = flat.select(F.col("b").alias("centre"), F.col("a").alias("node"))
-        if before is not None:
-            own, back = own.join(moved, "centre", "left_semi"), back.join(moved, "centre", "left_semi")
-        back = _dealt(back, ["centre"], BLOCK, step)       # a vector on very many lists is met in parts
-        parts = back.select("centre", "parts").distinct()
-        own = own.join(parts, "centre", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        around = own.select("centre", "part", "node").unionByName(back.select("centre", "part", "node")).distinct()
         worst = lists.select(F.col("a").alias("node"), F.when(F.size("near") < LIST, F.lit(-1.0)).otherwise(F.element_at("near", -1)["cos"]).alias("worst"))
-        members = around.select(F.xxhash64("centre", "part").alias("centre"), "node").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-1.0)))
+        members = _around(lists, step).join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-1.0)))
     return ties
 
 
