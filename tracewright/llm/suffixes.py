@@ -3,10 +3,13 @@
 Equal windows of ``length`` bytes have the same smallest k-gram hash at the
 same place, so every window belongs to one anchor, and equal windows meet under
 the hash of their anchors. Anchors of one document only are dropped. For the
-others the bytes of their windows (their context, about 80 bytes) are fetched,
-equal contexts become one, and the contexts that share an anchor and 15
-more bytes on one side of it (any two with a common window do) are put in one
-suffix array, in which equal windows stand side by side.
+others the bytes of their windows (their context, about 63 bytes) are fetched,
+and equal contexts become one. The windows of a context are dealt by the
+distance of their anchor into bins of eight; the bytes from the first to the last
+window of a bin are a part. Equal windows are in the same bin and agree in all
+the bytes that the windows of the bin have in common, so parts meet under
+those, and the parts of one group are put in one suffix array, in which equal
+windows stand side by side.
 
 Suffix arrays are built by linear grouping: suffixes are grouped by their
 Lyndon prefixes, from the highest group down, along pointers to the previous
@@ -27,7 +30,9 @@ from tracewright.llm import text as tx
 from tracewright.session import settle
 
 GRAM = 20                  # bytes of an anchor
-BATCH = 1 << 14            # bytes of contexts sorted together, about
+BIN = 8                    # distances of an anchor that go together
+BATCH = 1 << 14            # bytes of parts sorted together, about
+BLOCK = 1 << 16            # positions hashed at a time, so that they stay in the cache
 
 
 def suffix_array(s: np.ndarray | bytes) -> list[int]:
@@ -85,81 +90,126 @@ def suffix_array(s: np.ndarray | bytes) -> list[int]:
     return order
 
 
-def _slid(values: np.ndarray, n: int) -> np.ndarray:
-    """Index of the first smallest value in each run of n."""
-    best, width = np.arange(len(values)), 1
+def _least(values: np.ndarray, n: int) -> np.ndarray:
+    """Smallest value in each run of n."""
+    out, width = values, 1
     while width < n:
         step = min(width, n - width)
-        a, b = best[:len(best) - step], best[step:]
-        best, width = np.where(values[b] < values[a], b, a), width + step
-    return best
+        out, width = np.minimum(out[:len(out) - step], out[step:]), width + step
+    return out
 
 
-def _words8(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) - 7, np.uint64)
-    for i in range(8):
-        out |= data[i:len(data) - 7 + i].astype(np.uint64) << np.uint64(8 * i)
-    return out
+def _first(values: np.ndarray, least: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the smallest value of the runs that start at ``at`` stands first, counted from there."""
+    dist, left, k = np.zeros(len(at), np.int64), np.arange(len(at)), 0
+    while len(left):
+        here = values[at[left] + k] == least[at[left]]
+        dist[left[here]] = k
+        left, k = left[~here], k + 1
+    return dist
 
 
 def _gram_hash(data: np.ndarray) -> np.ndarray:
-    w = _words8(data)
     n = len(data) - GRAM + 1
-    return tx.mix(tx.mix(tx.mix(w[:n]) + w[8:8 + n] * np.uint64(0x9E3779B97F4A7C15)) + w[GRAM - 8:GRAM - 8 + n])
+    word = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), 0, (1,))      # the eight bytes at every place
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, BLOCK):
+        hi = min(lo + BLOCK, n)
+        x = word[lo:hi] * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x += word[lo + 8:hi + 8]
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        x += word[lo + GRAM - 8:hi + GRAM - 8]
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        out[lo:hi] = x
+    return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, hash and place of each anchor of a piece.
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor of a piece: text, hash, first window, number of windows after it, and distance of the k-gram.
 
-    A place is the start of the first window (within the text), times 2 ** 16,
-    plus 2 ** 8 times the number of windows after it, plus the distance of the k-gram.
+    Windows next to each other that have the same k-gram as their first
+    smallest one share an anchor. Windows are counted from the start of the piece.
     """
     if len(data) < length:
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 5
     h = _gram_hash(data)
-    owner = _slid(h, length - GRAM + 1)
-    at = np.arange(len(owner))
-    text = np.searchsorted(offsets, at, "right") - 1
-    inside = at + length <= offsets[text + 1]
-    at, text, owner = at[inside], text[inside], owner[inside]
-    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])]) if len(at) else np.empty(0, np.int64)
-    last = np.r_[new[1:], len(at)] - 1 if len(at) else new
-    base = offsets[text[new]]
-    return text[new], h[owner[new]].view(np.int64), (at[new] - base) << 16 | (at[last] - at[new]) << 8 | owner[new] - at[new]
+    least = _least(h, length - GRAM + 1)
+    new = least[1:] != least[:-1]
+    edges = offsets[(offsets > 0) & (offsets < len(least))]
+    new[edges - 1] = True                         # texts do not share anchors
+    runs = np.r_[0, np.flatnonzero(new) + 1]
+    lasts = np.r_[runs[1:], len(least)] - 1
+    dist = _first(h, least, runs)
+    over = lasts > runs + dist                    # the value stands there again: each window by itself, joined below
+    if over.any():
+        sizes = (lasts - runs + 1)[over]
+        each = np.repeat(runs[over], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        near = _first(h, least, each)
+        owner = each + near
+        start = np.r_[True, (owner[1:] != owner[:-1]) | (np.repeat(np.flatnonzero(over), sizes)[1:] != np.repeat(np.flatnonzero(over), sizes)[:-1])]
+        ends = np.r_[np.flatnonzero(start)[1:], len(each)] - 1
+        runs, lasts, dist = (np.r_[x[~over], y] for x, y in ((runs, each[start]), (lasts, each[ends]), (dist, near[start])))
+        order = np.argsort(runs)
+        runs, lasts, dist = runs[order], lasts[order], dist[order]
+    text = np.searchsorted(offsets, runs, "right") - 1
+    lasts = np.minimum(lasts, offsets[text + 1] - length)      # windows end with their text
+    whole = lasts >= runs
+    return text[whole], h[(runs + dist)[whole]].view(np.int64), runs[whole], (lasts - runs)[whole], dist[whole]
 
 
 def _scan(length: int):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tx.pieces(batches, "text"):
-            text, h, place = anchors(data, offsets, length)
+            text, h, *_ = anchors(data, offsets, length)
             at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("doc_id").take(at), batch.column("name").take(at), pa.array(place)], ["anchor", "doc_id", "name", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("doc_id").take(at), batch.column("name").take(at)], ["anchor", "doc_id", "name"])
     return scan
 
 
 def _contexts(length: int):
-    side = (length - GRAM) // 2
-
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in tx.pieces(batches, "text"):
+            met = batch.column("met")
+            own = np.repeat(np.arange(len(met)), met.value_lengths().to_numpy())
+            key = lambda text, h: tx.mix(h.view(np.uint64) + tx.mix(text.astype(np.uint64)))
+            text, h, at, more, gram = anchors(data, offsets, length)
+            live = np.isin(key(text, h), key(own, met.flatten().to_numpy()))
+            text, h, at, more, gram = (x[live] for x in (text, h, at, more, gram))
             raw = data.tobytes()
-            counts = batch.column("met").value_lengths().to_numpy()
-            met = batch.column("met").flatten()
-            place = met.field("place").to_numpy()
-            own = np.repeat(np.arange(len(counts)), counts)
-            first = place >> 16
-            a = first + offsets[own]
-            size = (place >> 8 & 255) + length
-            gram = place & 255
-            context = [raw[x:x + n] for x, n in zip(a.tolist(), size.tolist(), strict=True)]
-            left = [c[g - side:g] if g >= side else None for c, g in zip(context, gram.tolist(), strict=True)]
-            right = [c[g + GRAM:g + GRAM + side] if len(c) >= g + GRAM + side else None for c, g in zip(context, gram.tolist(), strict=True)]
-            at = pa.array(own)
-            yield pa.RecordBatch.from_arrays([met.field("anchor"), batch.column("doc_id").take(at), batch.column("name").take(at), pa.array(first.astype(np.int32)),
-                                              *[pa.array(x, pa.binary()) for x in (context, left, right)]], ["anchor", "doc_id", "name", "first", "context", "left", "right"])
+            context = [raw[x:x + n] for x, n in zip(at.tolist(), (more + length).tolist(), strict=True)]
+            take = pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("doc_id").take(take), batch.column("name").take(take), pa.array((at - offsets[text]).astype(np.int32)),
+                                              pa.array(gram.astype(np.int32)), pa.array(context, pa.binary())], ["anchor", "doc_id", "name", "first", "gram", "context"])
     return cut
 
 
+def _parts(length: int):
+    """The windows of each context by bins of the distance of their anchor: what a bin has in common, and its bytes."""
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, gram = batch.column("context").to_pylist(), batch.column("gram").to_pylist()
+            of, bins, common, start, part = [], [], [], [], []
+            for i, (c, far) in enumerate(zip(context, gram, strict=True)):
+                near = far - (len(c) - length)             # distance in the last window
+                for b in range(near // BIN, far // BIN + 1):
+                    low, high = b * BIN, min(b * BIN + BIN, length - GRAM + 1) - 1
+                    a = far - min(high, far)
+                    of.append(i)
+                    bins.append(b)
+                    common.append(c[far - low:far - high + length])
+                    start.append(a)
+                    part.append(c[a:far - max(low, near) + length])
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("anchor").take(at), batch.column("low").take(at), pa.array(bins, pa.int32()),
+                                              pa.array(common, pa.binary()), pa.array(start, pa.int32()), pa.array(part, pa.binary())], ["id", "anchor", "low", "bin", "common", "start", "part"])
+    return deal
+
+
 def equal_windows(contexts: list[bytes], lows: list[int], groups: list[int], length: int) -> dict[int, list[tuple[int, int]]]:
     """For each context the windows (start, smallest document) that a smaller document has in another context of the group."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -187,21 +237,35 @@ def equal_windows(contexts: list[bytes], lows: list[int], groups: list[int], len
 
 def _match(length: int):
     def match(table: pa.Table) -> pa.Table:
-        context, low, name, group = (table[c].to_pylist() for c in ("context", "low", "id", "group"))
+        """For each context the windows that a smaller document has, with the smallest such document."""
+        part, low, name, group, start = (table[c].to_pylist() for c in ("part", "low", "id", "group", "start"))
         found = {"id": [], "start": [], "low": []}
-        order = sorted(range(len(context)), key=lambda i: group[i])
+        order = sorted(range(len(part)), key=lambda i: group[i])
         lo = 0
         while lo < len(order):
             hi, size = lo, 0
+            least: dict[tuple[int, bytes], int] = {}       # equal parts of a group are sorted once
+            kinds: dict[int, int] = defaultdict(int)
             while hi < len(order) and (size < BATCH or group[order[hi]] == group[order[hi - 1]]):
-                size += len(context[order[hi]])
+                i = order[hi]
+                key = group[i], part[i]
+                if key not in least:
+                    size += len(part[i])
+                    kinds[group[i]] += 1
+                least[key] = min(least.get(key, low[i]), low[i])
                 hi += 1
-            mine = order[lo:hi]
-            for c, windows in equal_windows([context[i] for i in mine], [low[i] for i in mine], [group[i] for i in mine], length).items():
-                for start, least in windows:
-                    found["id"].append(name[mine[c]])
-                    found["start"].append(start)
-                    found["low"].append(least)
+            several = [k for k in least if kinds[k[0]] > 1]
+            hits = equal_windows([p for _, p in several], [least[k] for k in several], [g for g, _ in several], length) if several else {}
+            better = {several[c]: dict(windows) for c, windows in hits.items()}
+            for i in order[lo:hi]:
+                key = group[i], part[i]
+                known, own = better.get(key, {}), least[key]
+                for w in range(len(part[i]) - length + 1) if own < low[i] else known:
+                    at = known.get(w, own)
+                    if at < low[i]:
+                        found["id"].append(name[i])
+                        found["start"].append(start[i] + w)
+                        found["low"].append(at)
             lo = hi
         return pa.table({"id": pa.array(found["id"], pa.int64()), "start": pa.array(found["start"], pa.int32()), "low": pa.array(found["low"], pa.int64())})
     return match
@@ -243,22 +307,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("name", F.xxhash64("doc_id", F.md5("text")))       # rows that agree in both share their result
-    met = rows.where("doc_id is not null").mapInArrow(_scan(length), "anchor long, doc_id long, name long, place long")
+    met = rows.where("doc_id is not null").mapInArrow(_scan(length), "anchor long, doc_id long, name long")
     shared = settle(met.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "repeat-anchors")
-    live = met.join(shared, "anchor").groupBy("name").agg(F.collect_set(F.struct("anchor", "place")).alias("met"))
-    found = settle(rows.join(live, "name").mapInArrow(_contexts(length), "anchor long, doc_id long, name long, first int, context binary, left binary, right binary"), "repeat-contexts")
-
-    named = found.withColumn("id", F.xxhash64("anchor", "context"))
-    contexts = settle(named.groupBy("id", "anchor", "context", "left", "right").agg(F.min("doc_id").alias("low")), "repeat-kinds")
-    sides = F.array(F.when(F.col("left").isNotNull(), F.xxhash64("anchor", F.lit(0), "left")), F.when(F.col("right").isNotNull(), F.xxhash64("anchor", F.lit(1), "right")))
-    keyed = contexts.select("id", "context", "low", F.explode(sides).alias("group")).where("group is not null")
-    many = settle(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("lo"), F.max("low").alias("hi")).where("n > 1 and lo < hi").select("group"), "repeat-groups")
+    live = met.select("anchor", "name").join(shared, "anchor").groupBy("name").agg(F.collect_set("anchor").alias("met"))
+    found = settle(rows.join(live, "name").mapInArrow(_contexts(length), "anchor long, doc_id long, name long, first int, gram int, context binary")
+                   .withColumn("id", F.xxhash64("anchor", "context")), "repeat-contexts")
+
+    contexts = settle(found.groupBy("id", "anchor", "gram", "context").agg(F.min("doc_id").alias("low")), "repeat-kinds")
+    dealt = contexts.mapInArrow(_parts(length), "id long, anchor long, low long, bin int, common binary, start int, part binary")
+    keyed = settle(dealt.select("id", "low", "start", "part", F.xxhash64("anchor", "bin", "common").alias("group")), "repeat-parts")
+    many = settle(keyed.groupBy("group").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).where("lo < hi").select("group"), "repeat-groups")
     batches = max(1, many.count() // 500)
-    windows = (keyed.join(many, "group").withColumn("batch", F.pmod(F.xxhash64("group"), F.lit(batches))).groupBy("batch").applyInArrow(_match(length), "id long, start int, low long")
-               .groupBy("id", "start").agg(F.min("low").alias("low")))
+    windows = keyed.join(many, "group").withColumn("batch", F.pmod(F.xxhash64("group"), F.lit(batches))).groupBy("batch").applyInArrow(_match(length), "id long, start int, low long")
     windows = settle(windows.groupBy("id").agg(F.collect_list(F.struct("start", "low")).alias("windows")), "repeat-windows")
 
-    own = named.select("id", "doc_id", "name", "first", F.octet_length("context").alias("size")).join(contexts.select("id", "low"), "id").join(windows, "id", "left")
+    own = found.select("id", "doc_id", "name", "first", F.octet_length("context").alias("size")).join(contexts.select("id", "low"), "id").join(windows, "id", "left")
     whole = F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("size")).alias("e")))
     some = F.transform(F.filter("windows", lambda w: w["low"] < F.col("doc_id")), lambda w: F.struct((F.col("first") + w["start"]).alias("a"), (F.col("first") + w["start"] + length).alias("e")))
     spans = own.select("name", F.explode(F.when(F.col("low") < F.col("doc_id"), whole).otherwise(some)).alias("s")).groupBy("name").agg(F.collect_set("s").alias("spans"))
