@@ -218,15 +218,13 @@ def test_suffix_array():
         assert suffixes.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_repeats(spark, docs):
-    out = sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in suffixes.remove_repeats(docs).collect())
-    want = []
-    rows = rows_of(docs)
+def repeats_by_hand(rows):
     starts: dict[bytes, int] = {}
     for i, t in rows:
         b = (t or "").encode()
         for k in range(len(b) - 49):
             starts[b[k:k + 50]] = min(i, starts.get(b[k:k + 50], i))
+    want = []
     for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -235,7 +233,49 @@ def test_repeats(spark, docs):
                 gone[k:k + 50] = b"\1" * 50
         runs = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         want.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
-    assert out == sorted(want)
+    return sorted(want)
+
+
+def repeats(docs):
+    return sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in suffixes.remove_repeats(docs).collect())
+
+
+def test_repeats(spark, docs):
+    assert repeats(docs) == repeats_by_hand(rows_of(docs))
+
+
+def test_repeats_with_other_edges(spark):
+    """Passages cut at any place and changed in single letters, so that equal windows stand in different contexts."""
+    rng = random.Random(12)
+    source = "".join(rng.choice("abcdefgh é") for _ in range(400)) + "ab" * 60 + "z" * 90
+    rows = []
+    for i in range(60):
+        text = list("".join(rng.choice("klmnop") for _ in range(rng.randint(0, 20))))
+        for _ in range(rng.randint(0, 3)):
+            a = rng.randrange(len(source))
+            text += source[a:a + rng.randint(20, 160)]
+        if text and i % 3 == 0:
+            text[rng.randrange(len(text))] = "X"
+        rows.append((rng.randrange(50), "".join(text)))
+    assert repeats(spark.createDataFrame(rows, "doc_id long, text string")) == repeats_by_hand(rows)
+
+
+def test_anchors():
+    """Each window belongs to the first smallest k-gram hash in it, also where one hash stands many times."""
+    rng = random.Random(3)
+    np = suffixes.np
+    for letters in ("a", "ab", "abcdefgh") * 20:
+        texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 49, 50, 51, 200]))).encode() for _ in range(4)] + [b"q" * 60]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+        hashes, want = suffixes._gram_hash(data), []
+        for k in range(len(texts)):
+            for n, i in enumerate(range(offsets[k], offsets[k + 1] - 49)):
+                at = i + int(np.argmin(hashes[i:i + 31]))
+                if n and at == want[-1][2] + want[-1][4]:
+                    want[-1][3] += 1
+                else:
+                    want.append([k, int(hashes[at].view(np.int64)), i, 0, at - i])
+        assert [list(map(int, x)) for x in zip(*suffixes.anchors(data, offsets, 50), strict=True)] == want
 
 
 def test_mix(spark):

@@ -273,25 +273,26 @@ def _match(length: int):
 
 def _cutter():
     import hashlib
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
+
+    def merged(spans: list[dict] | None) -> list[dict]:
+        out: list[dict] = []
+        for a, e in sorted((s["a"], s["e"]) for s in spans or []):
+            if out and a <= out[-1]["end"]:
+                out[-1]["end"] = max(out[-1]["end"], e)
+            else:
+                out.append({"start": a, "end": e})
+        return out
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                raw = (row["text"] or "").encode()
-                spans: list[list[int]] = []
-                for a, e in sorted((s["a"], s["e"]) for s in row["spans"] or []):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([a, e])
-                kept, at = [], 0
-                for a, e in spans:
-                    kept.append(raw[at:a])
-                    at = e
-                kept.append(raw[at:])
-                rest = b"".join(kept)
-                yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "n_bytes": len(raw), "spans": [{"start": a, "end": e} for a, e in spans], "kept": rest, "kept_sha256": hashlib.sha256(rest).hexdigest()}],
-                                                 pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())]))
+        for batch, data, offsets in tx.pieces(batches, "text"):
+            spans = [merged(x) for x in batch.column("spans").to_pylist()]
+            kept = []
+            for a, e, gone in zip(offsets[:-1].tolist(), offsets[1:].tolist(), spans, strict=True):
+                edges = [0, *[x for s in gone for x in (s["start"], s["end"])], e - a]
+                kept.append(b"".join(data[a + x:a + y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(spans, schema.field("spans").type), pa.array(kept, pa.binary()),
+                                              pa.array([hashlib.sha256(x).hexdigest() for x in kept])], schema=schema)
     return cut
 
 
