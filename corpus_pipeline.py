@@ -27,10 +27,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8) the one with the smallest id stays; of rows with that id, one."""
-    kept = minhash.near_copies(docs).where("kept").select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of near copies (five-word shingles, similarity 0.8) the row with the smallest id stays, null ids last.
+
+    Rows are judged by their own text, also where ids are null or repeated. They
+    get a written key first, so that each is decided once; rows of one id rank by
+    a hash of all their columns.
+    """
+    key = max(docs.columns, key=len) + "_row"      # no column of the table
+    own = F.concat_ws("-", F.xxhash64(F.to_json(F.struct(*docs.columns))), F.monotonically_increasing_id())
+    keyed = settle(docs.withColumn(key, own), "pipeline-rows")
+    kept = minhash.near_copies(keyed, row=key).where("kept").select(key)
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

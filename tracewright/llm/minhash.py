@@ -157,7 +157,8 @@ def _between(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets, "node").groupBy("rep", "i", "j").applyInArrow(_linked_block(percent), "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, sides: int = SIDES, rows: int = ROWS) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, sides: int = SIDES, rows: int = ROWS,
+                row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Words are runs of anything but white space, lower-cased in A-Z; a text of
@@ -168,14 +169,21 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     minimum: rows all of whose links have null ids get a null component. Rows of
     equal id are judged by their own text. An empty table gives no rows.
 
+    ``kept`` marks the rows whose id is that of their component. ``row`` names a
+    column that differs in every row; it is returned too, and ``kept`` then marks
+    one row of each component, that of the smallest id and row (null ids last).
+
     Sets are sets of 64-bit hashes; the name of a set is one as well.
     """
-    schema = T.StructType([T.StructField("c0", docs.schema[doc_id].dataType), T.StructField("n_shingles", T.LongType()),
+    carry = [doc_id] if row is None else [doc_id, row]
+    held = [f"c{i}" for i in range(len(carry))]
+    schema = T.StructType([*[T.StructField(h, docs.schema[c].dataType) for h, c in zip(held, carry, strict=True)], T.StructField("n_shingles", T.LongType()),
                            T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     texts = docs.select(*dict.fromkeys([doc_id, text]))
-    scanned = settle(texts.mapInArrow(_scan_keys([doc_id], text, width, sides, rows), schema), "minhash")
+    scanned = settle(docs.select(*dict.fromkeys([*carry, text])).mapInArrow(_scan_keys(carry, text, width, sides, rows), schema), "minhash")
     some = scanned.where("n_shingles > 0")
-    nodes = settle(some.groupBy("node").agg(F.min("c0").alias("low"), F.first("keys").alias("keys")), "minhash-nodes")
+    rank = F.struct(F.col("c0").isNull().alias("none"), *held)
+    nodes = settle(some.groupBy("node").agg(F.min("c0").alias("low"), F.min(rank).alias("first"), F.first("keys").alias("keys")), "minhash-nodes")
 
     tables = F.array(*[F.xxhash64(F.lit(i * sides + j), F.col("keys")[i], F.col("keys")[sides + j]) for i in range(sides) for j in range(sides)])
     slots = nodes.select("node", F.explode(tables).alias("slot"))
@@ -194,9 +202,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     if not more.isEmpty():
         roots = settle(components(links.unionByName(more)), "minhash-roots")
 
-    low = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = low.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = settle(low.join(settle(groups, "minhash-groups"), "root").select("node", "component_id"), "minhash-named")
-    joined = some.join(named, "node").select("c0", "n_shingles", "component_id")
-    alone = scanned.where("n_shingles = 0").select("c0", "n_shingles", F.col("c0").alias("component_id"))
-    return joined.unionByName(alone).select(F.col("c0").alias("doc_id"), "n_shingles", "component_id", F.col("c0").eqNullSafe(F.col("component_id")).alias("kept"))
+    low = nodes.select("node", "low", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = low.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
+    named = settle(low.drop("first").join(settle(groups, "minhash-groups"), "root").select("node", "component_id", "first"), "minhash-named")
+    kept = F.col("c0").eqNullSafe(F.col("component_id")) if row is None else F.col("c1") == F.col("first")["c1"]
+    joined = some.join(named, "node").select(*held, "n_shingles", "component_id", kept.alias("kept"))
+    alone = scanned.where("n_shingles = 0").select(*held, "n_shingles", F.col("c0").alias("component_id"), F.lit(True).alias("kept"))
+    names = [F.col(h).alias(c) for h, c in zip(held, ["doc_id"] if row is None else ["doc_id", row], strict=True)]
+    return joined.unionByName(alone).select(*names, "n_shingles", "component_id", "kept")
