@@ -2,11 +2,13 @@
 
 A classifier learned from a labelled table gives each document a probability
 for every domain. Rates (how often a document enters the mix) are found by
-projected-gradient least squares, so that the expected tokens of each domain
-meet their targets. A gradient step lowers the rate of a document by the product
-of its probabilities with a vector that is the same for all documents; the
-whole fit is therefore a short list of such vectors, and one pass over the
-documents per step adds up what the steps so far have led to.
+least squares under bounds, so that the expected tokens of each domain
+meet their targets. The best rate of a document is 1 less the product of its
+probabilities with a vector that is the same for all documents, held between
+the bounds; the whole fit is therefore one gradient step from 1 with the right
+vector. That vector has one number a domain and is found by Newton's method;
+one pass over the documents per round adds up what several lengths of a step
+lead to. It ends by a proof: the gap to the best possible miss is known.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from tracewright.session import settle
 
 BITS = 14              # words are hashed to 2 ** BITS features
 PER_DOMAIN = 1000      # labelled documents of a domain to learn from, about
-STEPS = 40             # gradient steps at most
 CLOSE = 1e-3           # enough: no domain misses its target by more than this share of all tokens
-GAIN = 0.99            # a step that leaves more of the miss than this ends the fit: the targets cannot be met more closely
+STILL = 1e-4           # or the miss is the least possible: its equation holds to this share of all tokens
+PULL = 1e-9            # weight of staying at rate 1 against meeting the targets
+LENGTHS = tuple(2.0 ** -i for i in range(12))      # parts of a step that are tried in one pass
 DENSE = 4              # features besides words
 
 
@@ -147,15 +150,37 @@ def _dot(a: Column, b: list[float]) -> Column:
 
 def _rate(steps, ceiling: float | None) -> Column:
     """Rate of a document after the steps: 1, lowered and raised, held between 0 and the ceiling each time."""
-    if not steps:
-        return F.lit(1.0)
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in steps])
-    held = lambda r: F.greatest(r, F.lit(0.0)) if ceiling is None else F.least(F.greatest(r, F.lit(0.0)), F.lit(float(ceiling)))
-    return F.aggregate(table, F.lit(1.0), lambda r, v: held(r - _inner(F.col("posterior"), v, len(steps[0]))))
-
-
-def _inner(a: Column, b: Column, n: int) -> Column:
-    return sum((a[k] * b[k] for k in range(n)), F.lit(0.0))
+    rate = F.lit(1.0)
+    for v in steps:
+        rate = F.greatest(rate - _dot(F.col("posterior"), v), F.lit(0.0))
+        rate = rate if ceiling is None else F.least(rate, F.lit(float(ceiling)))
+    return rate
+
+
+def _adder(tries: np.ndarray, ceiling: float | None):
+    """Of each vector tried: half the squared rates' distance from 1, the tokens reached, and the Gram matrix of the rows off the bounds."""
+    k = tries.shape[1]
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(tries), 1 + k + k * k))
+        for batch in batches:
+            n = batch.column("n_tokens").to_numpy().astype(float)
+            p = batch.column("posterior").flatten().to_numpy().reshape(-1, k)
+            for i, v in enumerate(tries):
+                raw = 1 - p @ v
+                r = np.clip(raw, 0.0, ceiling)
+                free = np.where(r == raw, n, 0.0)
+                total[i] += np.r_[(n * (r - 1) ** 2).sum() / 2, (n * r) @ p, ((p * free[:, None]).T @ p).ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(tries)), pa.int32()), tx.lists(np.full(len(tries), total.shape[1]), total.ravel(), pa.float64())], ["i", "sums"])
+    return add
+
+
+def _tried(rows: DataFrame, tries: np.ndarray, ceiling: float | None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    k = tries.shape[1]
+    parts = rows.select("n_tokens", "posterior").mapInArrow(_adder(tries, ceiling), "i int, sums array<double>")
+    sums = {r["i"]: r for r in parts.groupBy("i").agg(*[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(1 + k + k * k)]).collect()}
+    flat = [np.array([sums[i][f"s{j}"] for j in range(1 + k + k * k)]) for i in range(len(tries))]
+    return [(float(x[0]), x[1:1 + k], x[1 + k:].reshape(k, k)) for x in flat]
 
 
 def fit(docs: DataFrame, model: Classifier, weights: dict[str, float], ceiling: float | None = None, keep_total: bool = True, text: str = "text") -> Mix:
@@ -163,8 +188,13 @@ def fit(docs: DataFrame, model: Classifier, weights: dict[str, float], ceiling:
 
     The mix is as large as the corpus (``keep_total``), or as large as it can be
     without any domain needing more tokens than it has; use that with a ceiling of 1.
-    Rates start at 1, so they change no more than the targets ask for. The
-    squared misses are weighted by the size of each domain.
+    Rates change no more from 1 than the targets ask for. The
+    squared misses are weighted by the size of each domain, and where the targets
+    cannot be met their weighted sum is the least possible.
+
+    With e the misses, the rates sought minimize PULL * half the sum of tokens *
+    (rate - 1) ** 2 plus half the weighted squares of e. The dual problem has one
+    number a domain, and what its gradient leaves open is the gap to that minimum.
     """
     k = len(model.domains)
     rows = settle(predict(docs, model, [], text), "mix-posteriors")
@@ -180,16 +210,26 @@ def fit(docs: DataFrame, model: Classifier, weights: dict[str, float], ceiling:
     if not have.sum():
         return Mix(model, (), ceiling, dict(zip(model.domains, target)), dict(zip(model.domains, have)))
     w = 1 / np.maximum(np.diag(gram), 1e-9 * have.sum())
-    root = np.sqrt(w)
-    length = 1 / np.linalg.eigvalsh(root[:, None] * gram * root[None, :]).max()
-    steps: list[tuple[float, ...]] = []
-    reached, miss, before = have, 1.0, np.inf
-    while len(steps) < STEPS and np.abs(reached - target).max() > CLOSE * total and miss < before * GAIN:
-        steps.append(tuple(length * w * (reached - target)))
-        r = _rate(steps, ceiling)
-        sums = rows.withColumn("rate", r).agg(*[F.sum(tokens * F.col("rate") * x) for x in p]).first()
-        reached = np.array([float(x) for x in sums])
-        before, miss = (np.inf if len(steps) == 1 else miss), float(np.sqrt((w * (reached - target) ** 2).sum()))
+    soft = PULL / w        # as a share of the largest possible weight
+    vector, best = np.zeros(k), None
+    step = np.zeros(k)
+    while True:
+        tries = np.stack([vector + x * step for x in (LENGTHS if step.any() else (0.0,))])
+        found = _tried(rows, tries, ceiling)
+        # value of the dual, and its gradient
+        told = [(off + v @ (sums - target) - v @ (soft * v) / 2, i) for i, (v, (off, sums, _)) in enumerate(zip(tries, found, strict=True))]
+        value, i = max(told)
+        if best is not None and value <= best:         # a shorter step rises, but at the top, as far as doubles tell
+            step = step * LENGTHS[-1] / 2
+            if (vector + step == vector).all():
+                break
+            continue
+        best, vector, (_, reached, free) = value, tries[i], found[i]
+        slope = reached - target - soft * vector
+        if np.abs(reached - target).max() <= CLOSE * total or np.abs(slope).max() <= STILL * total:
+            break
+        step = np.linalg.solve(free + np.diag(soft), slope)
+    steps = [tuple(float(x) for x in vector)] if vector.any() else []
     name = lambda v: {d: float(x) for d, x in zip(model.domains, v, strict=True)}
     return Mix(model, tuple(steps), ceiling, name(target), name(reached))
 
