@@ -4,15 +4,19 @@ Every distinct vector keeps a short list of its nearest vectors. Lists start
 from buckets of random half-space codes. In each round all vectors around a
 common neighbour are compared with each other, and lists take what is nearer,
 until no list gains an entry at the threshold. A list whose every entry passes the
-threshold may be too short for its links; so the components of the links
-found are compared whole, block against block, in double precision. This
-enlarges saturated lists to all members of their component and decides each
-link exactly. A bounded sample of vectors is then compared with all vectors; if
-too few of its links were found, another turn with new codes follows.
+threshold is saturated: it may be too short for its links. The saturated lists
+are enlarged by the nearest vectors outside their component of links, refined
+until no list changes, and again with the components this joins, until
+nothing outside is left at the threshold. The components are compared whole,
+block against block, in double precision, which decides each link inside them
+exactly. A bounded sample of vectors is then compared with all vectors; if
+too few of its links were found, another turn with new codes follows, and the
+run fails if they still are too few after the last one.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ CODE_BITS = 24
 BLOCK = 64             # vectors compared with each other at once while lists are refined
 WIDE_BLOCK = 256       # and when components are compared
 CENTRES = 200          # neighbourhoods per task group
-ROUNDS, TURNS = 5, 3
+ROUNDS, TURNS = 5, 6      # rounds before lists are enlarged; turns before a failed audit fails the run
 AUDITED = 2000         # vectors compared with all others to measure recall, at most
 RECALL = 0.995
 SLACK = 1e-5           # lists are in single precision
@@ -87,15 +91,15 @@ def _joined(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _refine(threshold: float):
     def around(group: pa.Table) -> list[tuple]:
         order = np.argsort(group["centre"].to_numpy(), kind="stable")
-        centre, node, worst = (group[c].to_numpy()[order] for c in ("centre", "node", "worst"))
+        centre, node, home, worst = (group[c].to_numpy()[order] for c in ("centre", "node", "home", "worst"))
         x = _matrix(group["vec"], np.float32)[order]
         cuts = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1], True])
         rows = []
         for a, e in zip(cuts[:-1], cuts[1:], strict=True):
             ids, first = np.unique(node[a:e], return_index=True)
-            mine, floor_of = x[a:e][first], worst[a:e][first]
+            mine, at_home, floor_of = x[a:e][first], home[a:e][first], worst[a:e][first]
             near = mine @ mine.T
-            np.fill_diagonal(near, -2)
+            near[at_home[:, None] == at_home[None, :]] = -2
             if len(ids) > LIST + 1:
                 floor = np.partition(near, -LIST, axis=1)[:, -LIST]
             else:
@@ -146,8 +150,8 @@ def _lists(found: DataFrame) -> DataFrame:
     return best.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("cos", "b", "old")), asc=False), 1, LIST).alias("near"))
 
 
-def _around(lists: DataFrame, salt: int) -> DataFrame:
-    """(centre, node): each node with its list and the nodes that list it, where any of these entries is new.
+def _around(lists: DataFrame, salt: int, kin: DataFrame | None = None) -> DataFrame:
+    """(centre, node): each node with its list and the nodes that list it, where any of these entries is new, and with its entries (a, b) in ``kin``.
 
     Nodes on very many lists meet these in parts of about BLOCK, each with the whole list.
     """
@@ -156,6 +160,8 @@ def _around(lists: DataFrame, salt: int) -> DataFrame:
     itself = lists.select(F.col("a").alias("centre"), F.col("a").alias("node"), F.lit(False).alias("new"), F.lit(0).alias("back"))
     back = flat.select(F.col("b").alias("centre"), F.col("a").alias("node"), "new", F.lit(1).alias("back"))
     both = own.unionByName(itself).unionByName(back)
+    if kin is not None:
+        both = both.unionByName(kin.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(False).alias("new"), F.lit(0).alias("back")))
     sizes = both.groupBy("centre").agg(F.greatest(F.ceil(F.sum("back") / BLOCK), F.lit(1)).cast("int").alias("parts"), F.max("new").alias("moved")).where("moved").select("centre", "parts")
     part = F.when(F.col("back") == 1, F.array(F.pmod(F.xxhash64("node", F.lit(salt)), "parts").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     return both.join(settle(sizes, "nn-parts"), "centre").select("centre", "node", F.explode(part).alias("part")).select(F.xxhash64("centre", "part").alias("centre"), "node")
@@ -167,9 +173,12 @@ def _dealt(rows: DataFrame, area: list[str], block: int, salt: int) -> DataFrame
     return rows.join(sizes, area).withColumn("part", F.pmod(F.xxhash64("node", F.lit(salt)), "parts").cast("int"))
 
 
-def _turn(nodes: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """Ties at the threshold from one descent."""
-    slim = settle(nodes.select("node", F.col("unit").cast("array<float>").alias("vec")), "nn-vectors")
+def _descent(nodes: DataFrame, threshold: float, turn: int, kin: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ties at the threshold, and the lists, from one descent among vectors of different ``home``.
+
+    With ``kin``, the entries that nodes have at home, it goes on until no list changes.
+    """
+    slim = settle(nodes.select("node", "home", F.col("unit").cast("array<float>").alias("vec")), "nn-vectors")
     codes = settle(nodes.select("node", "area", "unit").mapInArrow(_coder(turn), "node long, area long, codes array<long>"), "nn-codes")
     sizes = settle(codes.groupBy("area").agg(F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / BLOCK)), F.lit(0)).alias("bits")), "nn-bits")
     coded = codes.join(sizes, "area").select("node", "area", "bits", F.posexplode("codes").alias("no", "code"))
@@ -178,7 +187,7 @@ def _turn(nodes: DataFrame, threshold: float, turn: int) -> DataFrame:
     members = placed.withColumn("worst", F.lit(-1.0))
     ties, lists, linked = None, None, -1
     batches = max(1, nodes.count() // CENTRES)
-    for step in range(ROUNDS):
+    for step in itertools.count():
         work = members.join(slim, "node").withColumn("batch", F.pmod(F.xxhash64("centre"), F.lit(batches)))
         found = settle(work.groupBy("batch").applyInArrow(_refine(threshold), "a long, b long, cos double, tie boolean"), "nn-found")
         new = found.where("tie").select("a", "b")
@@ -187,13 +196,33 @@ def _turn(nodes: DataFrame, threshold: float, turn: int) -> DataFrame:
         if lists is not None:
             entries = entries.unionByName(lists.select("a", F.explode("near").alias("x")).select("a", "x.b", "x.cos", F.lit(True).alias("old")))
         lists = settle(_lists(entries), "nn-lists")
-        n = lists.agg(F.sum(F.size(F.filter("near", lambda x: x["cos"] >= threshold - SLACK)))).first()[0]
-        if n == linked or n is None:
+        n, moved = lists.agg(F.sum(F.size(F.filter("near", lambda x: x["cos"] >= threshold - SLACK))), F.sum(F.size(F.filter("near", lambda x: ~x["old"])))).first()
+        if not moved or (kin is None and (n == linked or step + 1 == ROUNDS)):
             break
         linked = n
         worst = lists.select(F.col("a").alias("node"), F.when(F.size("near") < LIST, F.lit(-1.0)).otherwise(F.element_at("near", -1)["cos"]).alias("worst"))
-        members = _around(lists, step).join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-1.0)))
-    return ties
+        members = _around(lists, step, kin).join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-1.0)))
+    return ties, lists
+
+
+def _turn(nodes: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Ties at the threshold from one descent, with saturated lists enlarged until nothing at the threshold is left outside their components."""
+    ties, lists = _descent(nodes.withColumn("home", F.col("node")), threshold, turn)
+    full = F.filter("near", lambda x: x["cos"] >= threshold - SLACK)
+    full = settle(lists.where(F.size(full) == LIST).select("a", "near"), "nn-full")
+    kin = settle(full.select("a", F.explode("near.b").alias("b")).join(full.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"), "nn-kin")
+    for step in itertools.count(1):
+        roots = settle(components(ties), "nn-roots")
+        homes = full.select(F.col("a").alias("node")).join(roots, "node").withColumnRenamed("root", "home")
+        wide = settle(nodes.join(homes, "node"), "nn-wide")
+        several = wide.groupBy("area").agg((F.min("home") < F.max("home")).alias("several")).where("several")
+        wide = wide.join(several, "area", "left_semi")
+        if wide.isEmpty():
+            return ties
+        more, _ = _descent(wide, threshold, 1000 * step + turn, kin.join(wide.select(F.col("node").alias("a")), "a", "left_semi"))
+        if more.isEmpty():
+            return ties
+        ties = ties.unionByName(more)
 
 
 def _whole(nodes: DataFrame, ties: DataFrame, threshold: float) -> DataFrame:
@@ -248,7 +277,8 @@ def near_vectors(vectors: DataFrame, threshold: float, vec_id: str = "vec_id", e
     null, empty, zero or hold a null or a non-finite component link with
     nothing and stay alone. Equal vectors of a label are one node; each counts
     the others as links. ``component_id`` is the smallest id reachable; null
-    ids count in no minimum. An empty table gives no rows.
+    ids count in no minimum. An empty table gives no rows. Recall below RECALL
+    after TURNS turns is an error.
     """
     rows = settle(vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("vec"))
                   .mapInArrow(_prepare, vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label")).schema.add("unit", T.ArrayType(T.DoubleType())))
@@ -265,6 +295,8 @@ def near_vectors(vectors: DataFrame, threshold: float, vec_id: str = "vec_id", e
         recall = audit(nodes, links, threshold)
         if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"near_vectors: after {TURNS} turns only {recall:.4f} of the links of the audited vectors are found ({RECALL} are needed)")
     roots = settle(components(decided.where("b <> -1").select("a", "b")), "nn-roots")
     known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = settle(known.groupBy("root").agg(F.min("low").alias("component_id")), "nn-lows")
