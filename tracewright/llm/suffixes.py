@@ -9,7 +9,9 @@ distance of their anchor into bins of eight; the bytes from the first to the las
 window of a bin are a part. Equal windows are in the same bin and agree in all
 the bytes that the windows of the bin have in common, so parts meet under
 those, and the parts of one group are put in one suffix array, in which equal
-windows stand side by side.
+windows stand side by side. Groups of very many parts are dealt again by single
+distances: there equal windows agree in all their bytes, so each window is
+decided by a minimum and no task holds the group.
 
 Suffix arrays are built by linear grouping: suffixes are grouped by their
 Lyndon prefixes, from the highest group down, along pointers to the previous
@@ -32,6 +34,8 @@ from tracewright.session import settle
 GRAM = 20                  # bytes of an anchor
 BIN = 8                    # distances of an anchor that go together
 BATCH = 1 << 14            # bytes of parts sorted together, about
+LARGE = 1 << 12            # parts of a group that are sorted together, at most
+TASK = 50_000              # parts of all groups of a task, about
 BLOCK = 1 << 16            # positions hashed at a time, so that they stay in the cache
 
 
@@ -271,6 +275,14 @@ def _match(length: int):
     return match
 
 
+def _by_window(parts: DataFrame, length: int) -> DataFrame:
+    """What _match finds, for groups of any size: each window of a part by itself."""
+    each = parts.select("id", "low", "start", "part", F.explode(F.sequence(F.lit(0), F.octet_length("part") - length)).alias("w"))
+    each = each.select("id", "low", (F.col("start") + F.col("w")).alias("start"), F.expr(f"substring(part, w + 1, {length})").alias("window"))
+    least = each.groupBy("window").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).where("lo < hi").select("window", "lo")
+    return each.join(least, "window").where("lo < low").select("id", "start", F.col("lo").alias("low"))
+
+
 def _cutter():
     import hashlib
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -317,9 +329,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     contexts = settle(found.groupBy("id", "anchor", "gram", "context").agg(F.min("doc_id").alias("low")), "repeat-kinds")
     dealt = contexts.mapInArrow(_parts(length), "id long, anchor long, low long, bin int, common binary, start int, part binary")
     keyed = settle(dealt.select("id", "low", "start", "part", F.xxhash64("anchor", "bin", "common").alias("group")), "repeat-parts")
-    many = settle(keyed.groupBy("group").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).where("lo < hi").select("group"), "repeat-groups")
-    batches = max(1, many.count() // 500)
-    windows = keyed.join(many, "group").withColumn("batch", F.pmod(F.xxhash64("group"), F.lit(batches))).groupBy("batch").applyInArrow(_match(length), "id long, start int, low long")
+    many = settle(keyed.groupBy("group").agg(F.min("low").alias("lo"), F.max("low").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("group", "n"), "repeat-groups")
+    sizes = many.where(F.col("n") <= LARGE).agg(F.count(F.lit(1)), F.sum("n")).first()
+    batches = max(1, sizes[0] // 500, (sizes[1] or 0) // TASK)
+    small = keyed.join(many.where(F.col("n") <= LARGE).select("group"), "group").withColumn("batch", F.pmod(F.xxhash64("group"), F.lit(batches)))
+    windows = small.groupBy("batch").applyInArrow(_match(length), "id long, start int, low long")
+    large = many.where(F.col("n") > LARGE).select("group")
+    if not large.isEmpty():
+        windows = windows.unionByName(_by_window(keyed.join(large, "group"), length))
     windows = settle(windows.groupBy("id").agg(F.collect_list(F.struct("start", "low")).alias("windows")), "repeat-windows")
 
     own = found.select("id", "doc_id", "name", "first", F.octet_length("context").alias("size")).join(contexts.select("id", "low"), "id").join(windows, "id", "left")
