@@ -177,8 +177,8 @@ def _adder(tries: np.ndarray, ceiling: float | None):
 
 def _tried(rows: DataFrame, tries: np.ndarray, ceiling: float | None) -> list[tuple[float, np.ndarray, np.ndarray]]:
     k = tries.shape[1]
-    parts = rows.select("n_tokens", "posterior").mapInArrow(_adder(tries, ceiling), "i int, sums array<double>")
-    sums = {r["i"]: r for r in parts.groupBy("i").agg(*[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(1 + k + k * k)]).collect()}
+    parts = rows.select("n_tokens", "posterior").mapInArrow(_adder(tries, ceiling), "i int, sums array<double>")      # a few rows a task
+    sums = {r["i"]: r for r in parts.repartition(1).groupBy("i").agg(*[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(1 + k + k * k)]).collect()}
     flat = [np.array([sums[i][f"s{j}"] for j in range(1 + k + k * k)]) for i in range(len(tries))]
     return [(float(x[0]), x[1:1 + k], x[1 + k:].reshape(k, k)) for x in flat]
 
