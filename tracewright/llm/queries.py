@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, decontamination, html, language, minhash, mixing, neighbours, secrets, sharding, suffixes
+from tracewright.llm import chat, decontamination, fingerprints, html, language, minhash, mixing, neighbours, secrets, sharding, suffixes
 
 SHARDS = 8
 WEIGHTS = {"clean": 0.80, "low": 0.17, "toxic": 0.03}
@@ -75,7 +75,16 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"))
 
 
-Q = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_decontamination, op4_mixing, op5_language, op6_secrets, op7_minhash, op8_chat, op9_html, op10_suffixes)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alike = lambda other: fingerprints.likeness(F.col("fingerprint"), F.col(other))
+    written = lambda c: fingerprints.written(F.col(c))
+    return fingerprints.with_edited(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), written("fingerprint").alias("fingerprint"),
+        written("edited_fingerprint").alias("edited_fingerprint"), alike("edited_fingerprint").alias("near_edited"), alike("next.fingerprint").alias("near_next"))
+
+
+Q = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_decontamination, op4_mixing, op5_language, op6_secrets, op7_minhash, op8_chat, op9_html, op10_suffixes,
+                               op11_fingerprints)}
 SQL: dict[str, str] = {
     "op8_chat": """
         with logs as (select conv_id, list(struct_pack(r := coalesce(role, 'unknown'), t := coalesce(text, '')) order by turn, role, text) as turns
