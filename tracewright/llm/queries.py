@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, decontamination, fingerprints, html, language, minhash, mixing, neighbours, resampling, secrets, sharding, suffixes
+from tracewright.llm import alignment, chat, decontamination, fingerprints, html, language, minhash, mixing, neighbours, resampling, secrets, sharding, suffixes
 
 SHARDS = 8
 WEIGHTS = {"clean": 0.80, "low": 0.17, "toxic": 0.03}
@@ -87,8 +87,13 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (alignment.align_documents(table(spark, sf_dir, "documents"), keep_groups=False)
+            .select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")))
+
+
 Q = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_decontamination, op4_mixing, op5_language, op6_secrets, op7_minhash, op8_chat, op9_html, op10_suffixes,
-                               op11_fingerprints, op12_resampling)}
+                               op11_fingerprints, op12_resampling, op13_alignment)}
 SQL: dict[str, str] = {
     "op8_chat": """
         with logs as (select conv_id, list(struct_pack(r := coalesce(role, 'unknown'), t := coalesce(text, '')) order by turn, role, text) as turns
