@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from catalog.data import order_log, session_log, table
 from catalog.kpis import _O
 from catalog.sqlparts import sql
+from tracewright.functions import fixed
 from tracewright.functions.spread import at_rank, median, ranked_values
 from tracewright.operators import filters as X
 from tracewright.operators.kpi.compile import kpi_rows
 from tracewright.operators.rca import analysis as A
+from tracewright.operators.rca import cohort as C
 from tracewright.operators.rca import features as FE
 from tracewright.operators.rca import manual as MP
 from tracewright.operators.rca import population as P
@@ -221,23 +223,35 @@ SQL["r13_rank_test"] = sql("""SELECT feature, n, round(rs, 1) AS rank_sum, (rs -
                             "ranks": "SELECT case_id, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS rk FROM pop"})
 
 
+def candidates(spark, folder, kpi, more=None):
+    """Cohort, marks and measured sums of the features of orders."""
+    pop, f = features(spark, folder, kpi)
+    if more is not None:
+        f = f.unionByName(more(pop))
+    cases = C.cohort(pop, A.P.symptom(kpi)["kind"] == "binary")
+    marks = settle(C.marks(cases, f), "marks")
+    return pop, f, cases, marks, C.sums(cases, marks)
+
+
 def r14(spark, folder):
-    pop, f = features(spark, folder, K_RETURN)
-    e = ST.binary_effects(pop, f)
-    n = pop.count()
-    size = (F.col("n") >= 20) & (F.col("n") >= 0.03 * n) & (F.col("n") < n)
-    return e.select("feature", size.alias("large"), ((F.col("lift") >= 1.02) & (F.col("diff") >= 0.005)).alias("some_effect"))
+    """The gates themselves, as the analysis applies them."""
+    _, f, cases, _, sums = candidates(spark, folder, K_RETURN)
+    rows = [(name, A.large_enough(x.n, cases.n), A.Candidate(name, "context", frozenset(), x).matters(None)) for name, x in sums.items()]
+    return spark.createDataFrame(rows, "feature string, large boolean, matters boolean")
 
 
 Q["r14_gates"] = r14
-SQL["r14_gates"] = sql("SELECT feature, n >= 20 AND n >= 0.03 * (SELECT count(*) FROM pop) AS large, m_g / m_r >= 1.02 AND m_g - m_r >= 0.005 AS some_effect FROM eff", {**_POP, **_FEAT, "eff": _EFF})
+SQL["r14_gates"] = sql("""SELECT feature, n >= 20 AND n >= 0.03 * (SELECT count(*) FROM pop) AND n < (SELECT count(*) FROM pop) AS large,
+    m_g / m_r >= 1.5 AND m_g - m_r >= 0.05 AS matters FROM eff""", {**_POP, **_FEAT, "eff": _EFF})
 
 
 def r15(spark, folder):
-    pop, f = features(spark, folder, K_RETURN)
-    groups = f.select("feature", "grp").distinct().collect()
-    pairs = A.pair_features(f, [r.asDict() for r in groups], pop.count(), pop)
-    return ST.binary_effects(pop, pairs).select("feature", "n", F.round("m_g", 6).alias("m_g"), F.round("m_r", 6).alias("m_r"))
+    _, f, cases, marks, _ = candidates(spark, folder, K_RETURN)
+    group = {r["feature"]: r["grp"] for r in f.select("feature", "grp").distinct().collect()}
+    wanted = [(r["a"], r["b"]) for r in ST.overlaps(cases.table, f).where("a < b").collect() if group[r["a"]] != group[r["b"]] and A.large_enough(r["n"], cases.n)]
+    pairs = C.sums(cases, C.pair_marks(marks, wanted))
+    return spark.createDataFrame([(name, x.n, x.inside, x.outside) for name, x in pairs.items()], "feature string, n long, m_g double, m_r double").select(
+        "feature", "n", F.round("m_g", 6).alias("m_g"), F.round("m_r", 6).alias("m_r"))
 
 
 Q["r15_feature_pairs"] = r15
@@ -258,14 +272,10 @@ SQL["r16_adjusted_p"] = sql("""SELECT feature, round(least(1.0, min(p * 25 / r)
 
 
 def r17(spark, folder):
-    pop, f = features(spark, folder, K_RETURN)
-    half = A.halves(pop)
-    out = None
-    for i in (0, 1):
-        e = ST.binary_effects(pop.join(half.where(F.col("half") == i).select("case_id"), "case_id", "left_semi"), f)
-        e = e.select(F.lit(i).alias("half"), "feature", "n", F.round("m_g", 6).alias("m_g"), F.round("m_r", 6).alias("m_r"))
-        out = e if out is None else out.unionByName(e)
-    return out
+    sums = candidates(spark, folder, K_RETURN)[-1]
+    rows = [(i, name, h.n, h.inside, h.outside) for name, x in sums.items() for i, h in enumerate(x.halves) if h.n]
+    return spark.createDataFrame(rows, "half int, feature string, n long, m_g double, m_r double").select(
+        "half", "feature", "n", F.round("m_g", 6).alias("m_g"), F.round("m_r", 6).alias("m_r"))
 
 
 Q["r17_halves"] = r17
@@ -275,14 +285,10 @@ SQL["r17_halves"] = sql("""SELECT half, feature, count(*) AS n, round(avg(y), 6)
 
 
 def r18(spark, folder):
-    pop, f = features(spark, folder, K_RETURN)
-    single = {r["feature"]: r.asDict() for r in ST.group_sums(pop, f).collect()}
-    t = ST.totals(pop).first()
-    rows = []
-    for r in ST.overlaps(pop, f).collect():
-        a, b = single[r["a"]], single[r["b"]]
-        if a["grp"] != b["grp"]:
-            rows.append((r["a"], r["b"], A.adjusted_effect(a, b, (r["n"], r["s"]), (t["n_all"], t["s_all"]))))
+    _, f, cases, _, sums = candidates(spark, folder, K_RETURN)
+    group = {r["feature"]: r["grp"] for r in f.select("feature", "grp").distinct().collect()}
+    rows = [(r["a"], r["b"], A.adjusted_effect(sums[r["a"]], sums[r["b"]], (r["n"], r["s"])))
+            for r in ST.overlaps(cases.table, f).collect() if group[r["a"]] != group[r["b"]]]
     return spark.createDataFrame(rows, "feature string, given string, effect double").select("feature", "given", F.round("effect", 6).alias("effect"))
 
 
@@ -309,13 +315,75 @@ SQL["r19_similar_features"] = sql("""SELECT a.feature AS a, b.feature AS b, roun
     JOIN (SELECT feature, count(*) AS n FROM feat GROUP BY 1) nb ON nb.feature = b.feature GROUP BY 1, 2""", _FEAT)
 
 
+K_TROUBLE = {"id": "trouble", "object_type": "Order", "measure": "share", "target": {"op": "<=", "value": 10}, "condition": {"op": "any", "items": [
+    {"op": "activity", "activities": ["Return Item"], "min_count": 3},
+    {"op": "all", "items": [{"op": "attribute", "attribute": "o_orderstatus", "cmp": "in", "values": ["F"]},
+                            {"op": "attribute", "attribute": "o_orderpriority", "cmp": "in", "values": ["1-URGENT"]}]}]}}
+
+
 def r20(spark, folder):
-    a = A.analyse(order_log(spark, folder), K_LATE)
-    counts = spark.createDataFrame([("status " + a.status, a.population)] + [("rejected " + k, int(v)) for k, v in a.rejected.items()], "item string, value long")
-    return counts if a.findings is None else counts.unionByName(a.findings.select(F.concat(F.lit("finding "), "feature").alias("item"), F.col("n").alias("value")))
+    """What marks orders with many returns or a bad mix of status and priority? Attributes and start times, alone and in pairs.
+
+    The two attributes are left among the features, so that there is something to find.
+    """
+    pop, f = features(spark, folder, K_TROUBLE)
+    found, _ = A.analyse_features(pop, f.unionByName(FE.time_features(pop)), True, top=100)
+    return found.select("position", "feature", "family", "n", *[F.round(c, 6).alias(c) for c in ("m_g", "m_r", "diff", "lift", "p", "q", "share_pop", "excess_share")],
+                        F.round("excess", 3).alias("excess"), "confidence", "same_cases")
 
 
 Q["r20_findings"] = r20
+_TIME = {
+    "wk": "SELECT isoyear(start_ts) AS y, week(start_ts) AS w, count(*) AS n FROM pop GROUP BY 1, 2",
+    "timef": """SELECT case_id, 'time:wd:' || (isodow(start_ts) - 1) AS feature, 'time' AS family, 'time:wd' AS grp FROM pop
+        UNION ALL SELECT case_id, 'time:qend', 'time', 'time:qend' FROM pop WHERE month(start_ts) IN (3, 6, 9, 12) AND day(start_ts) >= 17
+        UNION ALL SELECT case_id, 'time:load', 'time', 'time:load' FROM pop JOIN wk ON wk.y = isoyear(start_ts) AND w = week(start_ts)
+            WHERE n > (SELECT (list_sort(list(n)))[count(*) * 2 // 3 + 1] FROM wk) AND (SELECT count(*) FROM wk) >= 8""",
+}
+_RANKED = {
+    "frequent": "SELECT feature FROM feat GROUP BY 1 HAVING count(*) >= 20 OR feature LIKE '%:range:%'",
+    "hp": "SELECT case_id, y, (row_number() OVER (ORDER BY start_ts, case_id) > (SELECT count(*) FROM pop) // 2)::INTEGER AS half FROM pop",
+    "marks": "SELECT * FROM (SELECT * FROM feat WHERE feature IN (SELECT feature FROM frequent) UNION ALL SELECT * FROM timef) JOIN hp USING (case_id)",
+    "tot": "SELECT count(*) AS t, sum(y) AS b, sum(half) AS t1, sum(y * half) AS b1 FROM hp",
+    "sums": "SELECT feature, any_value(family) AS family, [any_value(grp)] AS grps, count(*) AS n, sum(y) AS s, sum(half) AS n1, sum(y * half) AS s1 FROM marks GROUP BY 1",
+    "single": "SELECT * FROM sums, tot WHERE n >= greatest(20, 0.03 * t) AND n < t",
+    "pool": "SELECT * FROM single WHERE family = 'context' AND n >= 40 ORDER BY n DESC, feature LIMIT 20",
+    "pairm": """SELECT a.feature || ' & ' || b.feature AS feature, [a.grp, b.grp] AS grps, a.case_id, a.y, a.half, greatest(pa.s / pa.n / ((pa.b - pa.s) / (pa.t - pa.n)), pb.s / pb.n / ((pb.b - pb.s) / (pb.t - pb.n))) AS best
+        FROM marks a JOIN marks b ON a.case_id = b.case_id AND a.feature < b.feature AND a.grp <> b.grp JOIN pool pa ON pa.feature = a.feature JOIN pool pb ON pb.feature = b.feature""",
+    "pairs": "SELECT feature, 'combination' AS family, any_value(grps) AS grps, count(*) AS n, sum(y) AS s, sum(half) AS n1, sum(y * half) AS s1, any_value(best) AS best FROM pairm GROUP BY 1",
+    "tested": """SELECT *, s / n AS m_g, (b - s) / (t - n) AS m_r FROM (
+            SELECT feature, family, grps, n, s, n1, s1, 0.0 AS best, t, b, t1, b1 FROM single
+            UNION ALL SELECT feature, family, grps, n, s, n1, s1, 1.3 * best, t, b, t1, b1 FROM pairs, tot WHERE n >= greatest(20, 0.03 * t) AND n < t)
+        WHERE s / n / ((b - s) / (t - n)) >= greatest(1.5, best) AND s / n - (b - s) / (t - n) >= 0.05""",
+    "pv": """SELECT feature, least(1.0, sum(exp(lgamma(n + 1) + lgamma(t - n + 1) + lgamma(b + 1) + lgamma(t - b + 1) - lgamma(t + 1)
+            - lgamma(k + 1) - lgamma(n - k + 1) - lgamma(b - k + 1) - lgamma(t - n - b + k + 1)))) AS p
+        FROM (SELECT feature, n, t, b, unnest(generate_series(s::BIGINT, least(n, b::BIGINT))) AS k FROM tested) GROUP BY 1""",
+    "qv": """SELECT feature, p, least(1.0, min(p * greatest(m, (SELECT count(*) FROM single)) / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q
+        FROM (SELECT *, row_number() OVER (ORDER BY p, feature) AS r, count(*) OVER () AS m FROM pv)""",
+    "found": """SELECT *, (m_g - m_r) * n AS excess FROM tested JOIN qv USING (feature) WHERE q <= 0.05
+        AND n1 >= 5 AND n1 < t1 AND s1 / n1 >= 1.15 * (b1 - s1) / (t1 - n1) AND s1 / n1 > (b1 - s1) / (t1 - n1)
+        AND n - n1 >= 5 AND n - n1 < t - t1 AND (s - s1) / (n - n1) >= 1.15 * (b - b1 - s + s1) / (t - t1 - n + n1) AND (s - s1) / (n - n1) > (b - b1 - s + s1) / (t - t1 - n + n1)""",
+    "held": "SELECT feature, case_id, y FROM marks WHERE feature IN (SELECT feature FROM found) UNION ALL SELECT feature, case_id, y FROM pairm WHERE feature IN (SELECT feature FROM found)",
+    "ovl": "SELECT a.feature AS f, o.feature AS o, count(*) AS n, sum(a.y) AS s FROM held a JOIN held o ON a.case_id = o.case_id AND a.feature <> o.feature GROUP BY 1, 2",
+    "layers": """SELECT f, o, diff, unnest([ni, f_n - ni]) AS n, unnest([si, f_s - si]) AS s, unnest([o_n, t - o_n]) AS tn, unnest([o_s, b - o_s]) AS ts FROM (
+            SELECT f.feature AS f, o.feature AS o, f.m_g - f.m_r AS diff, coalesce(v.n, 0) AS ni, coalesce(v.s, 0) AS si, f.n AS f_n, f.s AS f_s, o.n AS o_n, o.s AS o_s, f.t, f.b
+            FROM found f JOIN found o ON f.feature <> o.feature AND NOT list_has_any(f.grps, o.grps) AND 2 * o.excess >= f.excess LEFT JOIN ovl v ON v.f = f.feature AND v.o = o.feature)""",
+    "hidden": """SELECT DISTINCT f FROM (SELECT f, o, any_value(diff) AS diff, sum((s / n - (ts - s) / (tn - n)) * n) / sum(n) AS effect FROM layers WHERE n >= 3 AND tn - n >= 3 GROUP BY 1, 2) WHERE 2 * effect < diff""",
+    "free": "SELECT *, row_number() OVER (ORDER BY excess DESC, feature) AS i FROM found WHERE feature NOT IN (SELECT f FROM hidden)",
+    "near": """SELECT v.f AS feature, list(v.o) AS alike FROM ovl v JOIN free f ON f.feature = v.f JOIN free k ON k.feature = v.o WHERE v.n >= 0.8 * (f.n + k.n - v.n) GROUP BY 1""",
+    # the first of each group of nearly equal case sets, from the biggest on
+    "walk": """SELECT 0::BIGINT AS i, []::VARCHAR[] AS firsts, ''::VARCHAR AS feature, NULL::VARCHAR AS twin_of
+        UNION ALL SELECT i, CASE WHEN hit IS NULL THEN list_append(firsts, feature) ELSE firsts END, feature, hit FROM (
+            SELECT w.i + 1 AS i, w.firsts, f.feature, list_filter(w.firsts, lambda x: list_contains(coalesce(alike, []), x))[1] AS hit
+            FROM walk w JOIN free f ON f.i = w.i + 1 LEFT JOIN near ON near.feature = f.feature)""",
+    "twins": "SELECT twin_of, string_agg(feature, ', ' ORDER BY i) AS same_cases FROM walk WHERE twin_of IS NOT NULL GROUP BY 1",
+}
+SQL["r20_findings"] = sql("""SELECT (row_number() OVER (ORDER BY i))::INTEGER AS position, f.feature, family, n, round(m_g, 6) AS m_g, round(m_r, 6) AS m_r, round(m_g - m_r, 6) AS diff,
+    round(m_g / m_r, 6) AS lift, round(p, 6) AS p, round(q, 6) AS q, round(n / t, 6) AS share_pop, round(excess / b, 6) AS excess_share, round(excess, 3) AS excess,
+    CASE WHEN q <= 0.01 AND n >= 50 THEN 'high' ELSE 'medium' END AS confidence, coalesce(same_cases, '') AS same_cases
+    FROM free f JOIN (SELECT feature FROM walk WHERE twin_of IS NULL) USING (feature) LEFT JOIN twins ON twins.twin_of = f.feature""",
+                          {**_O, "pop": "SELECT object_id AS case_id, (nr >= 3 OR (status = 'F' AND pr = '1-URGENT'))::INTEGER::DOUBLE AS y, start_ts FROM o",
+                           **_FEAT, **_TIME, **_RANKED}).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def parts(spark, folder, kpi):

@@ -7,17 +7,21 @@ feature: group counts, sums and rank sums. The rest of the population is always
 
 from __future__ import annotations
 
+import functools
 import math
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.functions.spread import median, ranked_values
+from tracewright.session import settle
 
 WIDTH = 1.0      # days per bin of the exact medians
 
@@ -26,47 +30,115 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 # ---- tail probabilities of one feature -------------------------------------
-_log_factorial = np.vectorize(lambda k: math.lgamma(k + 1.0), otypes=[float])
+def _log_choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1.0) - math.lgamma(k + 1.0) - math.lgamma(n - k + 1.0)
+
+
+class Hypergeometric:
+    """How many of ``row`` cases drawn from n have the symptom that ``col`` of the n have."""
+
+    def __init__(self, row: int, col: int, n: int):
+        self.row, self.col, self.n = row, col, n
+        self.low, self.high = max(0, row + col - n), min(row, col)
+        self.mode = min(max((row + 1) * (col + 1) // (n + 2), self.low), self.high)
+
+    def log_p(self, k: int) -> float:
+        return _log_choose(self.col, k) + _log_choose(self.n - self.col, self.row - k) - _log_choose(self.n, self.row)
+
+    def outward(self, k: int, step: int, chunk: int = 1024) -> float:
+        """Sum from k on, away from the mode: each term is the one before times a ratio, until they no longer count."""
+        if not self.low <= k <= self.high:
+            return 0.0
+        last = math.exp(self.log_p(k))
+        total, at = last, k
+        while last > total * 1e-18 and (at < self.high if step > 0 else at > self.low):
+            ks = np.arange(at, min(at + chunk, self.high)) if step > 0 else np.arange(at, max(at - chunk, self.low), -1)
+            x = ks.astype(float)
+            up = (self.row - x) * (self.col - x)
+            down = x * (self.n - self.row - self.col + x)
+            ratio = up / ((x + 1) * (self.n - self.row - self.col + x + 1)) if step > 0 else down / ((self.row - x + 1) * (self.col - x + 1))
+            terms = last * np.cumprod(ratio)
+            total, last, at = total + float(terms.sum()), float(terms[-1]), at + step * len(ks)
+        return total
+
+    def at_least(self, k: int) -> float:
+        if k > self.mode:
+            return self.outward(k, 1)
+        return 1.0 - self.outward(k - 1, -1)
+
+    def as_rare(self, k: int) -> float:
+        """All outcomes that are no more likely than k, on both sides of the mode."""
+        limit = self.log_p(k) + 1e-7
+        side = 1 if k > self.mode else -1
+        near, far = (self.low, self.mode) if side > 0 else (self.mode, self.high)
+        # the other side falls off steadily: bisect for the first outcome that is rare enough
+        inside, outside = (far, near - 1) if side > 0 else (near, far + 1)
+        while abs(inside - outside) > 1:
+            middle = (inside + outside) // 2
+            inside, outside = (inside, middle) if self.log_p(middle) <= limit else (middle, outside)
+        if k == self.mode or self.log_p(inside) <= limit:
+            return 1.0
+        return self.outward(k, side) + self.outward(outside, -side)
 
 
 def fisher(a: int, b: int, c: int, d: int, two_sided: bool = False) -> float:
     """Exact test of a 2x2 table ((a, b), (c, d)); one-sided: the first row has more."""
-    row, col, n = a + b, a + c, a + b + c + d
-    low, high = max(0, row + col - n), min(row, col)
-    mean = row * col / n if n else 0.0
-    sd = math.sqrt(max(row * col * (n - row) * (n - col) / (n * n * max(n - 1, 1)), 1.0)) if n else 1.0
-    # beyond 40 standard deviations a term is zero in double precision
-    ks = np.arange(max(low, min(a, int(mean - 40 * sd))), min(high, max(a, int(mean + 40 * sd) + 1)) + 1)
-    lf = _log_factorial
-    log_p = (lf(np.array([row, n - row, col, n - col])).sum() - lf(np.array([n]))[0]
-             - lf(ks) - lf(row - ks) - lf(col - ks) - lf(n - row - col + ks))
-    p = np.exp(log_p)
-    chosen = p <= p[ks == a][0] * (1 + 1e-7) if two_sided else ks >= a
-    return float(min(1.0, p[chosen].sum()))
-
-
-def _exact_u(u: float, n1: int, n2: int) -> float:
-    """P(U >= u) without ties: counts of all rank sums, as a product of polynomials."""
-    ways = np.zeros(n1 * n2 + 1)
-    ways[0] = 1.0
-    for i in range(1, min(n1, n2) + 1):
-        top = max(n1, n2) + i
-        up = ways.copy()
-        up[top:] -= ways[:-top] if top < len(ways) else 0
-        for k in range(i, len(up)):
-            up[k] += up[k - i]
-        ways = up
-    return float(ways[int(math.ceil(u)):].sum() / ways.sum())
+    h = Hypergeometric(a + b, a + c, a + b + c + d)
+    return min(1.0, max(0.0, h.as_rare(a) if two_sided else h.at_least(a)))
+
+
+EXACT = 8        # of an untied sample of at most so many values the rank sum is judged exactly
+
+
+@functools.lru_cache(maxsize=None)
+def _small_parts(m: int) -> tuple[int, list[int]]:
+    """1 / ((1-x)(1-x)(1-x^2)...(1-x^m)) as a polynomial over (1-x^step)^(m+1): step and coefficients, by convolution of counts."""
+    step = math.lcm(*range(1, m + 1))
+    top = [1]
+    for part in [1, *range(1, m + 1)]:
+        grown = [0] * (len(top) + step - part)
+        for i, ways in enumerate(top):
+            for j in range(0, step, part):
+                grown[i + j] += ways
+        top = grown
+    return step, top
+
+
+def _ways_up_to(u: int, m: int) -> int:
+    """Number of ways to write whole numbers up to u as sums of the parts 1..m."""
+    step, top = _small_parts(m)
+    return sum(top[j] * math.comb((u - j) // step + m, m) for j in range(u % step, min(len(top), u + 1), step)) if u >= 0 else 0
+
+
+def exact_rank_sum(u: int, n1: int, n2: int) -> float:
+    """P(U >= u) without ties, for a smaller sample of m values against any number N of others.
+
+    The numbers of ways are the coefficients of prod (1-x^(N+i)) / (1-x^i) for
+    i = 1..m. The product above the line has 2^m terms; what is below it is
+    summed in closed form, so nothing grows with N.
+    """
+    m, others = min(n1, n2), max(n1, n2)
+    terms = {0: 1}
+    for i in range(1, m + 1):
+        for shift, sign in list(terms.items()):
+            terms[shift + others + i] = terms.get(shift + others + i, 0) - sign
+    below = sum(sign * _ways_up_to(u - 1 - shift, m) for shift, sign in terms.items())
+    return float(1 - Fraction(below, math.comb(others + m, m)))
 
 
 def mann_whitney(rank_sum: float, n1: int, n2: int, ties: float, two_sided: bool = False) -> float:
-    """P-value of the rank sum of the first group; ``ties`` is the sum of t^3 - t over tied values."""
+    """P-value of the rank sum of the first group; ``ties`` is the sum of t^3 - t over tied values.
+
+    One rule: exact if no value is tied and the smaller group has at most EXACT
+    values, whatever the size of the other; else the normal form with correction
+    for ties and continuity.
+    """
     n = n1 + n2
     u = rank_sum - n1 * (n1 + 1) / 2
     if two_sided:
         u = max(u, n1 * n2 - u)
-    if min(n1, n2) <= 8 and ties == 0 and n1 * n2 < 5_000_000:
-        p = _exact_u(u, n1, n2)
+    if ties == 0 and min(n1, n2) <= EXACT:
+        p = exact_rank_sum(math.ceil(u), n1, n2)
     else:
         sd = math.sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) if n > 1 else 0.0
         p = 0.5 * math.erfc((u - n1 * n2 / 2 - 0.5) / sd / math.sqrt(2)) if sd > 0 else 1.0
@@ -187,15 +259,53 @@ def adjusted_p(tested: DataFrame, candidates: int) -> DataFrame:
     return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col("p") * n / F.col("rank")).over(onward))).drop("rank")
 
 
+def adjusted(spark, rows: list[tuple], binary: bool, candidates: int) -> dict[str, tuple[float, float]]:
+    """p and q of each tested feature from the arguments of its test (a row per feature)."""
+    kind = "a long, b long, c long, d long" if binary else "a double, b long, c long, d double"
+    test = fisher_greater if binary else ranks_greater
+    p = spark.createDataFrame(rows, f"feature string, {kind}").select("feature", test("a", "b", "c", "d").alias("p"))
+    return {r["feature"]: (r["p"], r["q"]) for r in adjusted_p(p, candidates).collect()}
+
+
 # ---- overlaps --------------------------------------------------------------
+def numbered(pop: DataFrame) -> DataFrame:
+    """``pop`` with a number per case, from 1 in each written part, so that blocks of bitmaps fill up."""
+    return pop if "k" in pop.columns else settle(pop.withColumn("k", F.monotonically_increasing_id() + 1), "numbered-cases")
+
+
 def overlaps(pop: DataFrame, features: DataFrame) -> DataFrame:
-    """(a, b, n, s): cases and symptom sum shared by each two features (a <= b).
+    """(a, b, n, s): cases and symptom sum shared by each two features (a <= b) that share any.
 
-    Cases are summed up by their set of features first; pairs are only formed
-    between the names of those few distinct sets.
+    Each feature is a bitmap over the numbered cases, built before the shuffle:
+    32,768 cases are 4 KB. Bitmaps of one block of cases meet in one task, where
+    every two are combined bit by bit; cases are never paired with features or
+    features with features in rows.
     """
-    sets = features.join(pop.select("case_id", "y"), "case_id").groupBy("case_id").agg(
-        F.array_sort(F.collect_set("feature")).alias("fs"), F.first("y").alias("y"))       # bounded by the number of features
-    combos = sets.groupBy("fs").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
-    pairs = combos.select("n", "s", "fs", F.explode("fs").alias("a")).select("n", "s", "a", F.explode("fs").alias("b")).where("a <= b")
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    pop = numbered(pop)
+    names = features.select("feature").distinct()
+    ids = F.broadcast(names.withColumn("id", F.row_number().over(Window.orderBy("feature")) - 1))       # a row per feature
+    block, place = F.bitmap_bucket_number("k").alias("block"), F.bitmap_bit_position("k")
+    bits = (features.select("case_id", "feature").join(ids, "feature").join(pop.select("case_id", "k"), "case_id")
+            .groupBy("id", block).agg(F.bitmap_construct_agg(place).alias("bits")))
+    cases = pop.select(F.bitmap_bucket_number("k").alias("of_block"), place.alias("place"), "y")
+
+    def combine(maps: pa.Table, cases: pa.Table) -> pa.Table:
+        id_, planes = maps.column("id").to_numpy(), np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in maps.column("bits")]) if len(maps) else np.zeros((0, 0), np.uint8)
+        order = np.argsort(id_)
+        id_, planes = id_[order], planes[order]
+        y = np.zeros(planes.shape[1] * 8)
+        place = cases.column("place").to_numpy()
+        y[place] = cases.column("y").to_numpy()
+        n, s = np.zeros((len(id_), len(id_)), np.int64), np.zeros((len(id_), len(id_)))
+        for i in range(len(id_)):
+            n[i, i:] = np.bitwise_count(planes[i] & planes[i:]).sum(axis=1)
+        for lo in range(0, planes.shape[1], 256):
+            part = np.unpackbits(planes[:, lo:lo + 256], axis=1, bitorder="little").astype(float)
+            s += (part * y[lo * 8:(lo + 256) * 8]) @ part.T
+        a, b = np.nonzero(n)
+        return pa.table({"a": pa.array(id_[a], pa.int32()), "b": pa.array(id_[b], pa.int32()), "n": pa.array(n[a, b]), "s": pa.array(s[a, b])})
+
+    shared = (bits.groupBy("block").cogroup(cases.groupBy("of_block")).applyInArrow(combine, "a int, b int, n long, s double")
+              .groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    name = lambda c: ids.select(F.col("id").alias(c), F.col("feature").alias(f"{c}_name"))
+    return shared.join(name("a"), "a").join(name("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), "n", "s")
