@@ -17,11 +17,14 @@ from tracewright.session import settle
 
 def ranked_values(df: DataFrame, by: Sequence[str], value: str, width: float = 86400.0) -> DataFrame:
     """(by..., value, c, n, lo, hi): ``value`` holds the 0-based ranks lo .. hi-1 of its group of n."""
+    return ranked_counts(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c")), by, value, width)
+
+
+def ranked_counts(counts: DataFrame, by: Sequence[str], value: str, width: float = 86400.0) -> DataFrame:
+    """The same from values that are counted already (column ``c``)."""
     by = list(by)
     # both the bins and the values need the counts: written once, so that what feeds them runs once
-    counts = settle(df.where(F.col(value).isNotNull()).groupBy(*by, value)
-                    .agg(F.count(F.lit(1)).alias("c"))
-                    .withColumn("__bin", F.floor(F.col(value) / F.lit(float(width)))), "value-counts")
+    counts = settle(counts.withColumn("__bin", F.floor(F.col(value) / F.lit(float(width)))), "value-counts")
     group = by or [F.lit(1)]
     order = Window.partitionBy(*group).orderBy("__bin")
     bins = counts.groupBy(*by, "__bin").agg(F.sum("c").alias("__in_bin"))

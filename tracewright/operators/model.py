@@ -83,13 +83,13 @@ def case_members(log: EventLog, lead: str, with_types: Sequence[str] | None = No
     return reached.distinct()
 
 
-def case_events(log: EventLog, lead: str, with_types: Sequence[str] | None = None) -> DataFrame:
-    """(lead_id, event_id, activity, ts, ord): the distinct events of each case."""
+def case_events(log: EventLog, lead: str, with_types: Sequence[str] | None = None, members: DataFrame | None = None) -> DataFrame:
+    """(lead_id, event_id, activity, ts, ord): the distinct events of each case (of ``members``, where they are known)."""
     links = log.links.select("object_id", "event_id", "activity", "ts", "ord")
     types = allowed_types(log, lead, with_types)
     if not types:
         return log.links_of(lead).select(F.col("object_id").alias("lead_id"), "event_id", "activity", "ts", "ord")
-    members = case_members(log, lead, with_types)
+    members = case_members(log, lead, with_types) if members is None else members
     return members.join(links, "object_id").drop("object_id").distinct()
 
 

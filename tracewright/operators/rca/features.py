@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import fixed
 from tracewright.functions import scalars as S
-from tracewright.functions.spread import at_rank, ranked_values
+from tracewright.functions.spread import at_rank, ranked_counts
 from tracewright.operators import model
 from tracewright.operators.build import union_all
 from tracewright.operators.filters import exploded_attributes, top_values
@@ -24,20 +24,30 @@ def _feature(df: DataFrame, feature: Column, family: str, grp: Column) -> DataFr
 
 
 # ---- attribute values ------------------------------------------------------
-def attribute_groups(values: DataFrame, n_cases: int) -> DataFrame:
-    """(grp, kind, distinct, filled, cuts, mode) of (case_id, grp, value) rows; mode: value | range | skip."""
-    counts = values.groupBy("grp", "value").agg(F.count(F.lit(1)).alias("c"))
-    v = F.col("value")
+def held_groups(values: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, grps): which attributes each case has a value of; cases without any have an empty list."""
+    have = values.select("case_id", "grp").unionByName(cases.select("case_id", F.lit(None).cast("string").alias("grp")))
+    return have.groupBy("case_id").agg(F.collect_set("grp").alias("grps"))        # bounded by the attributes
+
+
+def attribute_groups(values: DataFrame, n_cases: int, held: DataFrame | None = None) -> DataFrame:
+    """(grp, kind, distinct, filled, cuts, mode) of (case_id, grp, value) rows; mode: value | range | skip.
+
+    Texts are read as dates and numbers once per distinct value.
+    """
+    counts = settle(values.groupBy("grp", "value").agg(F.count(F.lit(1)).alias("c")).withColumns({
+        "x": S.number("value"), "dated": S.is_date_text("value")}), "attribute-values")
     per = counts.groupBy("grp").agg(
         F.count(F.lit(1)).alias("distinct"), F.sum("c").alias("total"),
-        F.sum(F.when(S.is_date_text(v), F.col("c")).otherwise(0)).alias("dates"),
-        F.sum(F.when(S.number(v).isNotNull(), F.col("c")).otherwise(0)).alias("numbers"))
-    filled = values.groupBy("grp", "case_id").agg(F.lit(1).alias("x")).groupBy("grp").agg(F.count(F.lit(1)).alias("filled"))
+        F.sum(F.when(F.col("dated"), F.col("c")).otherwise(0)).alias("dates"),
+        F.sum(F.when(F.col("x").isNotNull(), F.col("c")).otherwise(0)).alias("numbers"))
+    held = values.groupBy("case_id").agg(F.collect_set("grp").alias("grps")) if held is None else held
+    filled = held.select(F.explode("grps").alias("grp")).groupBy("grp").agg(F.count(F.lit(1)).alias("filled"))
     kind = (F.when(F.col("dates") / F.col("total") >= 0.8, "date").when(F.col("numbers") / F.col("total") >= 0.8, "number").otherwise("text"))
     per = per.withColumn("kind", kind).join(filled, "grp")
-    numeric = values.join(F.broadcast(per.where((F.col("kind") == "number") & (F.col("distinct") > 8)).select("grp")), "grp", "left_semi")
-    ranked = ranked_values(numeric.withColumn("x", S.number("value")), ["grp"], "x", width=100.0)
-    cuts = ranked.groupBy("grp").agg(F.array_sort(F.array_distinct(F.array(*[
+    many = F.broadcast(per.where((F.col("kind") == "number") & (F.col("distinct") > 8)).select("grp"))      # attributes
+    numeric = counts.where("x is not null").join(many, "grp", "left_semi").groupBy("grp", "x").agg(F.sum("c").alias("c"))
+    cuts = ranked_counts(numeric, ["grp"], "x", width=100.0).groupBy("grp").agg(F.array_sort(F.array_distinct(F.array(*[
         at_rank("x", F.floor(F.col("n") * q)) for q in (0.25, 0.5, 0.75)]))).alias("cuts"))
     identifier = (F.col("distinct") > 50) & (F.col("distinct") > 0.5 * F.greatest("filled", F.lit(1)))
     mode = (F.when(F.col("kind") == "date", "skip").when((F.col("kind") == "number") & (F.col("distinct") > 8), "range")
@@ -49,8 +59,9 @@ def attribute_groups(values: DataFrame, n_cases: int) -> DataFrame:
 def value_features(values: DataFrame, cases: DataFrame, n_cases: int, family: str = "context") -> DataFrame:
     """Frequent values, quartile ranges of numbers, and "no value"."""
     values = settle(values, "case-values")
-    groups = F.broadcast(settle(attribute_groups(values, n_cases), "attributes"))       # one row per attribute
-    placed = values.join(groups.select("grp", "mode", "cuts", "kind"), "grp")
+    held = settle(held_groups(values, cases), "case-attributes")
+    groups = F.broadcast(settle(attribute_groups(values, n_cases, held), "attributes"))       # one row per attribute
+    placed = values.join(groups.select("grp", "mode", "cuts"), "grp")
     counts = placed.where("mode = 'value'").groupBy("grp", "value").agg(F.count(F.lit(1)).alias("count"))
     frequent = top_values(counts.where(F.col("count") >= fixed.MIN_CASES), ["grp"], fixed.MAX_VALUES).select("grp", "value")
     same = _feature(placed.join(F.broadcast(frequent), ["grp", "value"], "left_semi"),      # at most 30 per attribute
@@ -59,12 +70,8 @@ def value_features(values: DataFrame, cases: DataFrame, n_cases: int, family: st
     ranges = placed.where("mode = 'range'").withColumn("x", x).where("x is not null").withColumn(
         "i", F.size(F.filter("cuts", lambda c: F.col("x") > c)))
     ranged = _feature(ranges, F.concat("grp", F.lit(":range:"), F.col("i").cast("string")), family, F.col("grp")).distinct()
-    open_groups = groups.where((F.col("kind") != "date") & (F.col("mode") != "skip") & F.col("filled_share").between(0.05, 0.95)).select("grp")
-    named = F.array_sort(F.collect_list("grp"))
-    listed = open_groups.agg(named.alias("grps"))                # attribute names
-    k = F.lit(1).alias("k")
-    every = cases.select("case_id", k).join(F.broadcast(listed.select("grps", k)), "k").select("case_id", F.explode("grps").alias("grp"))
-    missing = every.join(values.select("case_id", "grp").distinct(), ["case_id", "grp"], "left_anti")
+    open_groups = [r["grp"] for r in groups.where((F.col("kind") != "date") & (F.col("mode") != "skip") & F.col("filled_share").between(0.05, 0.95)).select("grp").collect()]
+    missing = held.select("case_id", F.explode(F.array_except(F.array(*[F.lit(g) for g in open_groups]).cast("array<string>"), "grps")).alias("grp"))
     empty = _feature(missing, F.concat("grp", F.lit(":empty")), family, F.col("grp"))
     return union_all([same, ranged, empty])
 
@@ -89,20 +96,21 @@ def display_name(attrs: str = "attrs", object_id: str = "object_id") -> Column:
     return F.coalesce(F.concat(first, F.lit(" ("), suffix, F.lit(")")), suffix)
 
 
-def related(log: EventLog, lead: str, pop: DataFrame) -> DataFrame:
+def related(log: EventLog, lead: str, pop: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(case_id, object_type, object_id): objects of the case's own events (hubs too) and its case members."""
     own = log.links_of(lead).select(F.col("object_id").alias("case_id"), "event_id").join(pop.select("case_id"), "case_id", "left_semi")
     side = log.links.where(F.col("object_type") != lead).select("event_id", "object_id", "object_type")
     direct = skew.incidence_join(own, side, "event_id", log.hot_events).select("case_id", "object_type", "object_id")
     types = log.objects.select("object_id", "object_type")
-    members = (model.case_members(log, lead).where(F.col("lead_id") != F.col("object_id"))
+    members = (model.case_members(log, lead) if members is None else members)
+    members = (members.where(F.col("lead_id") != F.col("object_id"))
                .join(pop.select(F.col("case_id").alias("lead_id")), "lead_id", "left_semi")
                .join(types, "object_id").select(F.col("lead_id").alias("case_id"), "object_type", "object_id"))
     return direct.unionByName(members.where(F.col("object_type") != lead)).distinct()
 
 
-def related_features(log: EventLog, lead: str, pop: DataFrame, n_cases: int, skip: set[tuple[str, str]]) -> DataFrame:
-    pairs = settle(related(log, lead, pop), "related-objects")
+def related_features(log: EventLog, lead: str, pop: DataFrame, n_cases: int, skip: set[tuple[str, str]], members: DataFrame | None = None) -> DataFrame:
+    pairs = settle(related(log, lead, pop, members), "related-objects")
     no_ids = [t for t, a in skip if a == "__id__"]
     names = log.objects.select("object_id", display_name().alias("label"))
     ids = (pairs.where(~F.col("object_type").isin(no_ids)).join(names, "object_id")
@@ -120,9 +128,9 @@ def related_features(log: EventLog, lead: str, pop: DataFrame, n_cases: int, ski
 
 
 # ---- behaviour and time ----------------------------------------------------
-def behaviour_features(log: EventLog, lead: str, cutoff: DataFrame, skip: set[str], profile: ManualProfile) -> DataFrame:
+def behaviour_features(log: EventLog, lead: str, cutoff: DataFrame, skip: set[str], profile: ManualProfile, members: DataFrame | None = None) -> DataFrame:
     """Activity present, repeated, or done by hand, before the symptom shows."""
-    events = model.case_events(log, lead).withColumnRenamed("lead_id", "case_id").join(cutoff, "case_id")
+    events = model.case_events(log, lead, members=members).withColumnRenamed("lead_id", "case_id").join(cutoff, "case_id")
     early = events.where(~F.col("activity").isin(list(skip)) & (
         F.col("cutoff").isNull() | (F.unix_timestamp("ts") < F.col("cutoff"))))
     by_hand = F.lit(False)
@@ -158,8 +166,9 @@ def time_features(pop: DataFrame) -> DataFrame:
 
 def build_features(log: EventLog, lead: str, pop: DataFrame, n_cases: int, cutoff: DataFrame, skip_activities: set[str],
                    skip_attributes: set[tuple[str, str]], profile: ManualProfile) -> DataFrame:
+    members = settle(model.case_members(log, lead), "case-members")       # for related objects and for behaviour
     return union_all([
         value_features(lead_values(log, lead, pop, skip_attributes), pop, n_cases),
-        related_features(log, lead, pop, n_cases, skip_attributes),
-        behaviour_features(log, lead, cutoff, skip_activities, profile),
+        related_features(log, lead, pop, n_cases, skip_attributes, members),
+        behaviour_features(log, lead, cutoff, skip_activities, profile, members),
         time_features(pop)])
