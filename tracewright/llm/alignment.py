@@ -18,7 +18,6 @@ import functools
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -88,43 +87,58 @@ def _tokens(kind: type, path: str):
     return kind(path)
 
 
-def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups (from, to in each list) and links (indexes) of two cuts of the same bytes."""
-    at_a = dict(zip(ends_a, range(1, len(a) + 1)))
-    at_b = dict(zip(ends_b, range(1, len(b) + 1)))
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        to_a, to_b = at_a[end], at_b[end]
-        groups.append((i, to_a, j, to_b))
-        if to_a == i + 1 or to_b == j + 1:          # one token against all of the other side
-            links += [(x, y) for x in range(i, to_a) for y in range(j, to_b)]
-        else:
-            x, y = i, j
-            while x < to_a and y < to_b:            # the token that ends first makes room
-                links.append((x, y))
-                x, y = x + (ends_a[x] <= ends_b[y]), y + (ends_b[y] <= ends_a[x])
-        i, j = to_a, to_b
-    return groups, links
+def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+    """Where groups begin and end in both lists, from the ends of their tokens."""
+    at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
+    common = sorted(at_a.keys() & at_b.keys())
+    return [0, *map(at_a.__getitem__, common)], [0, *map(at_b.__getitem__, common)]
+
+
+def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both tokens of every link, group by group.
+
+    The ends of both sides cut the bytes of a group into pieces; two tokens that
+    overlap share exactly one of them.
+    """
+    ends = np.concatenate([ends_a, ends_b])
+    ends.sort()
+    ends = ends[np.append(True, ends[1:] != ends[:-1])]
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+
+
+def written(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, names: list[str]) -> str:
+    """The groups as text: ids of A, then of B. ``names`` has each id followed by a comma, a bar and a semicolon in turn."""
+    group_a, group_b = np.repeat(np.arange(len(cut_a) - 1), np.diff(cut_a)), np.repeat(np.arange(len(cut_b) - 1), np.diff(cut_b))
+    codes = np.empty(len(a) + len(b), np.int64)
+    mark_a, mark_b = 3 * a, 3 * b
+    mark_a[cut_a[1:] - 1] += 1
+    mark_b[cut_b[1:] - 1] += 2
+    codes[np.arange(len(a)) + cut_b[group_a]] = mark_a          # before a token of A stand the tokens of B of earlier groups
+    codes[np.arange(len(b)) + cut_a[group_b + 1]] = mark_b      # before a token of B also those of A of its own group
+    return "".join(map(names.__getitem__, codes.tolist()))[:-1]
 
 
 class _Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = _tokens(ByteTokens, path_a), _tokens(PieceTokens, path_b)
-        self.len_a, self.len_b = {i: len(v) for i, v in self.a.bytes.items()}, {i: len(v) for i, v in self.b.bytes.items()}
+        table = lambda t: [t.bytes.get(i, b"") for i in range(max(t.bytes) + 1)]
+        self.bytes_a, self.bytes_b = table(self.a), table(self.b)
+        self.len_a, self.len_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
+        self.names = [f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|;"]
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """n_a, n_b, n_groups, the groups as text, and the id pair of each link."""
         spaced = [" " + t for t in texts]
         for text, a, b in zip(spaced, self.a.encode(spaced), self.b.encode(texts), strict=True):
             whole = text.encode()
-            if len(whole) == 1 or b"".join(map(self.a.bytes.__getitem__, a)) != whole or b"".join(map(self.b.bytes.__getitem__, b)) != whole:
+            if len(whole) == 1 or b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
                 yield 0, 0, 0, "", np.empty(0, np.int64)
                 continue
-            groups, links = align(a, b, list(accumulate(map(self.len_a.__getitem__, a))), list(accumulate(map(self.len_b.__getitem__, b))))
-            text_a, text_b = list(map(str, a)), list(map(str, b))
-            shown = ";".join([",".join(text_a[i:k]) + "|" + ",".join(text_b[j:m]) for i, k, j, m in groups])
-            at = np.array(links, np.int64).reshape(-1, 2)
-            yield len(a), len(b), len(groups), shown, np.array(a, np.int64)[at[:, 0]] << SHIFT | np.array(b, np.int64)[at[:, 1]]
+            ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+            ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
+            cut_a, cut_b = map(np.array, cuts(ends_a.tolist(), ends_b.tolist()))
+            left, right = links(ends_a, ends_b)
+            yield len(a), len(b), len(cut_a) - 1, written(ids_a, ids_b, cut_a, cut_b, self.names), ids_a[left] << SHIFT | ids_b[right]
 
 
 NUMBERS = ("n_a", "n_b", "n_groups")
@@ -136,8 +150,8 @@ def _align_rows(batches: Iterable[pa.RecordBatch], path_a: str, path_b: str, kee
     aligner, part, blocks = _Aligner(path_a, path_b), TaskContext.get().partitionId(), 0
 
     def block(ids: list[pa.Array], found: list) -> pa.RecordBatch:
-        links = np.concatenate([f[4] for f in found])
-        pairs, at, n = np.unique(links, return_inverse=True, return_counts=True)
+        every = np.concatenate([f[4] for f in found])
+        pairs, at, n = np.unique(every, return_inverse=True, return_counts=True)
         cuts = np.cumsum([0] + [len(f[4]) for f in found])
         at = at.astype("<i4")
         blank = [None] * (len(found) - 1)
@@ -157,7 +171,7 @@ def _align_rows(batches: Iterable[pa.RecordBatch], path_a: str, path_b: str, kee
                 call.append(texts[hi].as_py() or "")
                 some += len(call[-1])
                 hi += 1
-            found += [(a, b, g, shown if keep_groups or not a else hashlib.sha256(shown.encode()).hexdigest(), links) for a, b, g, shown, links in aligner.texts(call)]
+            found += [(a, b, g, shown if keep_groups or not a else hashlib.sha256(shown.encode()).hexdigest(), pairs) for a, b, g, shown, pairs in aligner.texts(call)]
             ids.append(batch.column("doc_id").slice(lo, hi - lo))
             lo, size = hi, size + some
             if size >= BLOCK_BYTES:
