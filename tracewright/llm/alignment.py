@@ -18,6 +18,7 @@ import functools
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,21 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class ByteTokens:
+class _Tokens:
+    """Bytes of all tokens, side by side."""
+
+    def _keep(self, spelled: dict[int, bytes]) -> None:
+        table = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+        self.lengths = np.array([len(t) for t in table])
+        self._flat, self._first = np.frombuffer(b"".join(table), np.uint8), np.cumsum(self.lengths) - self.lengths
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """The bytes of a list of tokens, given where each ends."""
+        n = self.lengths[ids]
+        return self._flat[np.arange(n.sum()) + np.repeat(self._first[ids] - ends + n, n)].tobytes()
+
+
+class ByteTokens(_Tokens):
     """A byte-level vocabulary from its JSON file; text that looks like a special token is plain text.
 
     Where ids follow the order of the merges, and the file splits texts in the
@@ -56,15 +71,16 @@ class ByteTokens:
             spec = json.load(f)
         letters = _byte_letters()
         special = {t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes = {i: bytes(letters[c] for c in t) if i not in special and all(c in letters for c in t) else t.encode() for t, i in spec["model"]["vocab"].items()}
+        spelled = {i: bytes(letters[c] for c in t) if i not in special and all(c in letters for c in t) else t.encode() for t, i in spec["model"]["vocab"].items()}
+        self._keep(spelled)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         vocab, pre = spec["model"]["vocab"], spec.get("pre_tokenizer") or {}
         ranked = ([vocab.get(a + b) for a, b in merges] == list(range(256, 256 + len(merges))) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                   and pre.get("use_regex", True) and not spec.get("normalizer") and sorted(vocab.get(c, -1) for c in letters) == list(range(256)))
         if ranked:
             import tiktoken
-            own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={b: i for i, b in self.bytes.items() if i not in special}, special_tokens={})
-            self.encode = lambda texts: [own.encode_ordinary(t) for t in texts]
+            own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={b: i for i, b in spelled.items() if i not in special}, special_tokens={})
+            self.encode = lambda texts: [own.encode_to_numpy(t, disallowed_special=()) for t in texts]
         else:
             import tokenizers
             own = tokenizers.Tokenizer.from_file(path)
@@ -72,13 +88,13 @@ class ByteTokens:
             self.encode = lambda texts: [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
-class PieceTokens:
+class PieceTokens(_Tokens):
     """A vocabulary of pieces with bytes to fall back on; it puts a space before each text itself."""
 
     def __init__(self, path: str):
         import sentencepiece
         own = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes = {i: bytes([int(p[3:5], 16)]) if own.is_byte(i) else p.replace("▁", " ").encode() for i in range(own.get_piece_size()) for p in [own.id_to_piece(i)]}
+        self._keep({i: bytes([int(p[3:5], 16)]) if own.is_byte(i) else p.replace("▁", " ").encode() for i in range(own.get_piece_size()) for p in [own.id_to_piece(i)]})
         self.encode = lambda texts: own.encode(texts, num_threads=1)
 
 
@@ -90,8 +106,8 @@ def _tokens(kind: type, path: str):
 def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
     """Where groups begin and end in both lists, from the ends of their tokens."""
     at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
-    return [0, *map(at_a.__getitem__, common)], [0, *map(at_b.__getitem__, common)]
+    shared = list(map(at_b.get, at_a))          # ends ascend, so the common ones come in order; None where B goes on
+    return [0, *compress(at_a.values(), shared)], [0, *filter(None, shared)]
 
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,24 +137,20 @@ def written(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray,
 class _Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = _tokens(ByteTokens, path_a), _tokens(PieceTokens, path_b)
-        table = lambda t: [t.bytes.get(i, b"") for i in range(max(t.bytes) + 1)]
-        self.bytes_a, self.bytes_b = table(self.a), table(self.b)
-        self.len_a, self.len_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
-        self.names = [f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|;"]
+        self.names = [f"{i}{mark}" for i in range(max(len(self.a.lengths), len(self.b.lengths))) for mark in ",|;"]
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """n_a, n_b, n_groups, the groups as text, and the id pair of each link."""
         spaced = [" " + t for t in texts]
         for text, a, b in zip(spaced, self.a.encode(spaced), self.b.encode(texts), strict=True):
-            whole = text.encode()
-            if len(whole) == 1 or b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+            whole, ids_a, ids_b = text.encode(), np.asarray(a, np.int64), np.array(b, np.int64)
+            ends_a, ends_b = np.cumsum(self.a.lengths[ids_a]), np.cumsum(self.b.lengths[ids_b])
+            if len(whole) == 1 or self.a.spell(ids_a, ends_a) != whole or self.b.spell(ids_b, ends_b) != whole:
                 yield 0, 0, 0, "", np.empty(0, np.int64)
                 continue
-            ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-            ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
             cut_a, cut_b = map(np.array, cuts(ends_a.tolist(), ends_b.tolist()))
             left, right = links(ends_a, ends_b)
-            yield len(a), len(b), len(cut_a) - 1, written(ids_a, ids_b, cut_a, cut_b, self.names), ids_a[left] << SHIFT | ids_b[right]
+            yield len(ids_a), len(ids_b), len(cut_a) - 1, written(ids_a, ids_b, cut_a, cut_b, self.names), ids_a[left] << SHIFT | ids_b[right]
 
 
 NUMBERS = ("n_a", "n_b", "n_groups")
