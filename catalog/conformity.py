@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.data import order_log, session_log
@@ -10,6 +12,7 @@ from catalog.sqlparts import sql
 from tracewright.operators import conformance as N
 from tracewright.operators import model
 from tracewright.operators import overview as O
+from tracewright.session import shared_folder
 
 Q, SQL = {}, {}
 r4 = lambda c, name=None: F.round(c, 4).alias(name or c)
@@ -123,6 +126,20 @@ SQL["n10_variant_model"] = sql("""
     UNION ALL SELECT 'StartEvent_1', 'start', '' UNION ALL SELECT 'EndEvent_1', 'end', ''""", _v("(SELECT object_id AS lead_id, * FROM e2o WHERE object_type = 'Order')"))
 
 
+def n3(spark, folder):
+    """The model of a variant, written as a file and read back."""
+    m = N.model_of_steps(N.variant_model(O.cases(order_log(spark, folder), "Order").variants, 7))
+    path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    N.write_bpmn(m, path)
+    m = N.read_bpmn(spark, path)
+    return m.flows.select(F.col("flow_id").alias("id"), F.col("source").alias("a"), F.col("target").alias("b")).unionByName(
+        m.nodes.select(F.col("node_id").alias("id"), F.col("kind").alias("a"), F.col("name").alias("b")))
+
+
+Q["n3_model_graph"] = n3
+SQL["n3_model_graph"] = SQL["n10_variant_model"]
+
+
 def n11(spark, folder):
     """Sessions with the parity of the user's number as a team."""
     log = session_log(spark, folder)

@@ -26,11 +26,11 @@ PARTS: dict[str, str] = {
         UNION ALL SELECT 'Supplier:' || s_suppkey, 'Supplier', unnest(['s_name', 's_nationkey']), unnest([s_name, s_nationkey::VARCHAR]) FROM supplier
         UNION ALL SELECT 'Part:' || p_partkey, 'Part', unnest(['p_brand', 'p_type']), unnest([p_brand, p_type]) FROM part""",
     "ev": """
-        SELECT '1|' || lpad((o_orderkey::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') AS event_id, 'Place Order' AS activity, o_orderdate AS ts,
+        SELECT '1|' || chr(96 + length(o_orderkey::VARCHAR)::INTEGER) || o_orderkey AS event_id, 'Place Order' AS activity, o_orderdate AS ts,
             'Place Order' AS event_group, o_orderkey AS ok, NULL AS ln, o_custkey AS ck, NULL AS pk, NULL AS sk, NULL AS l_linestatus FROM orders
         UNION ALL
-        SELECT '2|' || lpad((l_orderkey::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') || '|' || lpad((l_linenumber::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') || '|' || lpad((l_partkey::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0')
-            || '|' || lpad((l_suppkey::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') || '|' || lpad((l_quantity::DECIMAL(22,2) + 100000000000000000000.00::DECIMAL(24,2))::VARCHAR, 24, '0') || '=' || l_quantity::VARCHAR || '|' || lpad((l_extendedprice::DECIMAL(22,2) + 100000000000000000000.00::DECIMAL(24,2))::VARCHAR, 24, '0') || '=' || l_extendedprice::VARCHAR,
+        SELECT '2|' || chr(96 + length(l_orderkey::VARCHAR)::INTEGER) || l_orderkey || '|' || chr(96 + length(l_linenumber::VARCHAR)::INTEGER) || l_linenumber || '|' || chr(96 + length(l_partkey::VARCHAR)::INTEGER) || l_partkey
+            || '|' || chr(96 + length(l_suppkey::VARCHAR)::INTEGER) || l_suppkey || '|' || chr(95 + strpos(l_quantity::VARCHAR, '.')::INTEGER) || l_quantity::VARCHAR || '|' || chr(95 + strpos(l_extendedprice::VARCHAR, '.')::INTEGER) || l_extendedprice::VARCHAR,
             CASE l_returnflag WHEN 'N' THEN 'Ship Item' WHEN 'R' THEN 'Return Item' ELSE 'Accept Item' END, l_shipdate, 'Item',
             l_orderkey, l_linenumber, NULL, l_partkey, l_suppkey, l_linestatus FROM lineitem""",
     "e2o": """
@@ -83,7 +83,7 @@ PARTS: dict[str, str] = {
         SELECT * FROM prow WHERE activity IS NOT NULL AND (event_group = 'Item' OR ok IN (SELECT ok FROM pobj WHERE ok IS NOT NULL))""",
     # ---- session log -----------------------------------------------------
     "act": """
-        SELECT event_id AS id, lpad(event_id::VARCHAR, 12, '0') AS eid, date_trunc('second', ts) AS ts, user_id, event_type AS activity, value,
+        SELECT event_id AS id, chr(96 + length(event_id::VARCHAR)::INTEGER) || event_id AS eid, date_trunc('second', ts) AS ts, user_id, event_type AS activity, value,
             strftime(ts, '%Y-%m-%d') AS day, props->>'$.k' AS k FROM events""",
     "sobj": """
         SELECT DISTINCT 'Session:' || day || '|' || user_id AS object_id, 'Session' AS object_type FROM act

@@ -51,19 +51,26 @@ def object_key(columns: Iterable[str]) -> Column:
 
 
 def sort_text_sql(column: str, dtype: T.DataType) -> str:
-    """Text that differs for different values, holds no '|', and sorts like the value.
+    """Short text that differs for different values, holds no '|', and sorts like the value.
 
-    Whole numbers are shifted above zero and padded to the width of any long.
-    Fractions sort to two decimals and then by their exact text, which follows.
-    In text '~' and '|' are written '~t' and '~p', and null is '~n', so parts
-    joined by '|' can be told apart.
+    A number carries the length of its whole part as a letter in front (a for
+    one digit), so 7 is a7 and 12 is b12; negative ones are shifted above zero
+    behind a '-'. Fractions outside 0.001 .. 10 million are written to two
+    decimals, and then exactly. In text '~' and '|' are written '~t' and '~p',
+    and null is '~n', so parts joined by '|' can be told apart.
     """
     c = quoted(column)
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        text = f"lpad(CAST(CAST({c} AS DECIMAL(20,0)) + 9223372036854775808BD AS STRING), 20, '0')"
+        digits = f"CAST({c} AS STRING)"
+        below = f"lpad(CAST(CAST({c} AS DECIMAL(20,0)) + 9223372036854775808BD AS STRING), 19, '0')"
+        text = f"if({c} < 0, concat('-', {below}), concat(char(96 + length({digits})), {digits}))"
     elif isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        rough = f"lpad(CAST(try_cast({c} AS DECIMAL(22,2)) + 100000000000000000000BD AS STRING), 24, '0')"
-        text = f"concat(coalesce({rough}, ''), '=', CAST({c} AS STRING))"
+        exact, rough = f"CAST({c} AS STRING)", f"try_cast({c} AS DECIMAL(22,2))"
+        letter = f"char(96 + length(CAST(try_cast({c} AS DECIMAL(22,0)) AS STRING)))"
+        plain = f"concat(char(95 + instr(concat({exact}, '.'), '.')), {exact})"
+        below = f"concat('-', lpad(CAST({rough} + 100000000000000000000BD AS STRING), 24, '0'), '=', {exact})"
+        text = (f"CASE WHEN {c} = 0 OR {c} >= 0.001 AND {c} < 10000000 THEN {plain} WHEN {rough} IS NULL THEN concat('~', {exact})"
+                f" WHEN {c} < 0 THEN {below} ELSE concat({letter}, CAST({rough} AS STRING), '=', {exact}) END")
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         text = f"date_format(CAST({c} AS TIMESTAMP), 'yyyyMMddHHmmssSSSSSS')"
     elif isinstance(dtype, T.BinaryType):

@@ -142,8 +142,7 @@ def event_rows(mapping: Mapping, rule: EventRule, table: DataFrame, ordinal: int
         rows = table.withColumns({"__event_id": row_order(table, ordinal, list(rule.row_key)), "__ord": F.lit(None).cast("string")})
     else:
         rows = numbered_copies(table, "__copy")
-        rows = rows.withColumn("__ord", F.concat_ws("|", row_order(rows, ordinal, table.columns),
-                                                    F.lpad(F.col("__copy").cast("string"), 20, "0")))
+        rows = rows.withColumn("__ord", row_order(rows, ordinal, [*table.columns, "__copy"]))
         rows = rows.withColumn("__event_id", F.concat(F.lit(f"{ordinal}|"), F.md5(F.col("__ord")))).drop("__copy")
     home = mapping.home_of(rule)
     if home is None:

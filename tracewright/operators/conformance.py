@@ -6,7 +6,6 @@ activity or other (gateways, intermediate events), and flows(flow_id, source, ta
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,6 +25,7 @@ KINDS = {"startEvent": "start", "endEvent": "end", "task": "activity", "userTask
          "scriptTask": "activity", "callActivity": "activity", "subProcess": "activity", "exclusiveGateway": "other",
          "parallelGateway": "other", "inclusiveGateway": "other", "eventBasedGateway": "other", "complexGateway": "other",
          "intermediateCatchEvent": "other", "intermediateThrowEvent": "other", "boundaryEvent": "other"}     # fixed values
+XML_MARKS = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}      # the ampersand last
 NODES, FLOWS = "node_id string, kind string, name string", "flow_id string, source string, target string"
 
 
@@ -35,14 +35,45 @@ class ProcessModel:
     flows: DataFrame
 
 
-def read_bpmn(spark: SparkSession, path: str, prefix: str = "bpmn:") -> ProcessModel:
-    """Nodes and sequence flows of BPMN files."""
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", f"{prefix}{tag}").schema(schema).load(path)
-    nodes = [read(tag, "_id string, _name string").select(F.col("_id").alias("node_id"), F.lit(kind).alias("kind"),
-                                                          F.trim(F.coalesce("_name", F.lit(""))).alias("name")) for tag, kind in KINDS.items()]
-    flows = read("sequenceFlow", "_id string, _sourceRef string, _targetRef string").select(
-        F.col("_id").alias("flow_id"), F.col("_sourceRef").alias("source"), F.col("_targetRef").alias("target"))
-    return ProcessModel(union_all(nodes).where("node_id is not null"), flows.where("source is not null AND target is not null"))
+def read_bpmn(spark: SparkSession, path: str) -> ProcessModel:
+    """Nodes and sequence flows of BPMN files, at any depth, whatever prefix their tags carry.
+
+    The files are read once, one record per tag, so that large ones are shared
+    out between tasks. A '>' inside a value has to be written ``&gt;``, as
+    editors do; what is commented out is left out.
+    """
+    tags = spark.read.option("lineSep", ">").text(path).select(F.regexp_extract("value", r"^[^<]*<(?:[\w.-]+:)?(\w+)\s", 1).alias("tag"), "value")
+
+    def value(name: str):
+        found = F.regexp_extract("value", rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
+        other = F.regexp_extract("value", rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 2)
+        text = F.concat(found, other)
+        for mark, sign in XML_MARKS.items():
+            text = F.replace(text, F.lit(mark), F.lit(sign))
+        return text
+
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    nodes = tags.withColumn("kind", F.try_element_at(kinds, F.col("tag"))).where("kind is not null").select(value("id").alias("node_id"), "kind", F.trim(value("name")).alias("name"))
+    flows = tags.where("tag = 'sequenceFlow'").select(value("id").alias("flow_id"), value("sourceRef").alias("source"), value("targetRef").alias("target"))
+    return ProcessModel(nodes.where("node_id <> ''"), flows.where("source <> '' AND target <> ''"))
+
+
+def write_bpmn(m: ProcessModel, path: str) -> None:
+    """The model as a BPMN file: one line per node and flow (a model is small: one file)."""
+    def value(c: str):
+        text = F.coalesce(F.col(c), F.lit(""))
+        for mark, sign in reversed(XML_MARKS.items()):
+            text = F.replace(text, F.lit(sign), F.lit(mark))
+        return F.concat(F.lit('"'), text, F.lit('"'))
+
+    tag = F.when(F.col("kind") == "start", "startEvent").when(F.col("kind") == "end", "endEvent").when(F.col("kind") == "activity", "task").otherwise("exclusiveGateway")
+    line = lambda no, *parts: [F.lit(no).alias("no"), F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts]).alias("line")]
+    nodes = m.nodes.select(*line(1, "<bpmn:", tag, " id=", value("node_id"), " name=", value("name"), "/>"))
+    flows = m.flows.select(*line(2, "<bpmn:sequenceFlow id=", value("flow_id"), " sourceRef=", value("source"), " targetRef=", value("target"), "/>"))
+    frame = m.nodes.sparkSession.createDataFrame([
+        (0, '<?xml version="1.0" encoding="UTF-8"?>\n<bpmn:definitions xmlns:bpmn="http://www.omg.org/spec/BPMN/20100524/MODEL">\n<bpmn:process id="Process_1">'),
+        (3, "</bpmn:process>\n</bpmn:definitions>")], "no int, line string")
+    union_all([frame, nodes, flows]).coalesce(1).sortWithinPartitions("no", "line").select("line").write.text(path)
 
 
 def variant_model(variants: model.Variants, variant_id: int) -> DataFrame:
@@ -121,31 +152,36 @@ def match_tasks(m: ProcessModel, activities: DataFrame, steps: DataFrame | None
     return out.select("node_id", F.coalesce("by_step", "by_name").alias("activity")).where("activity is not null")
 
 
+def closure(ways: DataFrame) -> DataFrame:
+    """All (via, node) that lie on a way of any length, from the single steps. Bounded by the pairs of nodes of a model."""
+    known = settle(ways.distinct(), "ways")
+    while True:
+        further = known.withColumnRenamed("node", "between").join(known.select(F.col("via").alias("between"), "node"), "between").select("via", "node")
+        new = settle(further.distinct().join(known, ["via", "node"], "left_anti"), "new-ways")
+        if new.isEmpty():
+            return known
+        known = settle(known.unionByName(new), "ways")
+
+
 def look_through(m: ProcessModel, tasks: DataFrame) -> DataFrame:
     """(flow_id, source, target): activity pairs each flow allows, looking through gateways and unmatched nodes.
 
-    The closure over such nodes is a recursive query on the small model tables;
-    the path it carries keeps it out of loops.
+    Ways through such nodes are grown from both ends at once: what is known is
+    joined with itself until nothing new is found. Loops and nested splits add
+    nothing twice, and a chain of n gateways takes about log2(n) rounds.
     """
-    spark = m.nodes.sparkSession
     stops = tasks.select("node_id", F.col("activity").alias("label")).unionByName(
         m.nodes.where("kind IN ('start', 'end')").select("node_id", F.when(F.col("kind") == "start", BEGIN).otherwise(FINISH).alias("label")))
     stops = settle(stops, "stops")
 
     def reach(near: str, far: str) -> DataFrame:
         """(flow_id, label) of the stops met from the ``near`` end of every flow."""
-        key = f"tracewright_{uuid.uuid4().hex}"
-        m.flows.createOrReplaceTempView(f"{key}_flows")
-        # flows one may walk on: those behind a node that is no stop
-        settle(m.flows.join(stops.select(F.col("node_id").alias(far)), far, "left_anti"), "open-flows").createOrReplaceTempView(f"{key}_open")
-        walk = spark.sql(f"""
-            WITH RECURSIVE walk(flow_id, node, path) AS (
-                SELECT flow_id, {near}, array({near}) FROM {key}_flows
-                UNION ALL
-                SELECT w.flow_id, f.{near}, array_append(w.path, f.{near}) FROM walk w JOIN {key}_open f ON f.{far} = w.node
-                WHERE NOT array_contains(w.path, f.{near}))
-            SELECT flow_id, node AS node_id FROM walk""")
-        return walk.join(stops, "node_id").select("flow_id", "label").distinct()
+        # from a node that is no stop, over each of its flows
+        ways = m.flows.join(stops.select(F.col("node_id").alias(far)), far, "left_anti").select(F.col(far).alias("via"), F.col(near).alias("node"))
+        ways = closure(ways)
+        met = m.flows.select("flow_id", F.col(near).alias("node")).unionByName(
+            m.flows.select("flow_id", F.col(near).alias("via")).join(ways, "via").select("flow_id", "node"))
+        return met.join(stops.withColumnRenamed("node_id", "node"), "node").select("flow_id", "label").distinct()
 
     back, forth = reach("source", "target"), reach("target", "source")
     # what lies behind an end event, or before a start event, is no step of the model
