@@ -86,12 +86,14 @@ Q["k3_month_range"] = k3
 SQL["k3_month_range"] = """SELECT strftime(m, '%Y-%m') AS month FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders),
     (SELECT date_trunc('month', max(o_orderdate)) FROM orders), INTERVAL 1 MONTH)) AS m)"""
 
-Q["k4_catalogue"] = lambda spark, folder: tower.catalogue(order_log(spark, folder))
+Q["k4_catalogue"] = lambda spark, folder: tower.catalogue(order_log(spark, folder), 8).withColumn("examples", F.array_join("examples", ", "))
 SQL["k4_catalogue"] = sql("""
-    SELECT 'object' AS scope, object_type AS owner, name AS attribute, CASE WHEN name = 'l_shipdate' THEN 'date'
-        WHEN name IN ('o_totalprice', 'o_custkey', 'l_quantity', 'l_extendedprice', 'l_discount', 'c_nationkey', 's_nationkey') THEN 'number' ELSE 'text' END AS kind,
-        count(DISTINCT value) AS distinct, count(*) AS filled FROM attr GROUP BY 1, 2, 3
-    UNION ALL SELECT 'event', activity, 'l_linestatus', 'text', count(DISTINCT l_linestatus), count(*) FROM ev WHERE event_group = 'Item' GROUP BY 2""")
+    SELECT scope, owner, attribute, CASE WHEN attribute = 'l_shipdate' THEN 'date'
+        WHEN attribute IN ('o_totalprice', 'o_custkey', 'l_quantity', 'l_extendedprice', 'l_discount', 'c_nationkey', 's_nationkey') THEN 'number' ELSE 'text' END AS kind,
+        count(*) AS distinct, sum(n)::BIGINT AS filled, string_agg(value, ', ' ORDER BY r) FILTER (r <= 8) AS examples FROM (
+        SELECT *, row_number() OVER (PARTITION BY scope, owner, attribute ORDER BY n DESC, value) AS r FROM (
+            SELECT 'object' AS scope, object_type AS owner, name AS attribute, value, count(*) AS n FROM attr GROUP BY 1, 2, 3, 4
+            UNION ALL SELECT 'event', activity, 'l_linestatus', l_linestatus, count(*) FROM ev WHERE event_group = 'Item' GROUP BY 2, 4)) GROUP BY 1, 2, 3""")
 
 # ---- conditions and points -------------------------------------------------
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import scalars as S
 from tracewright.operators import model
 from tracewright.operators.build import union_all
-from tracewright.operators.filters import exploded_attributes
+from tracewright.operators.filters import exploded_attributes, top_values
 from tracewright.operators.kpi import measures as M
 from tracewright.operators.kpi.compile import Definition, kpi_frame, rows_of
 from tracewright.operators.kpi.periods import in_months, period_months, start_range
@@ -41,8 +41,8 @@ def compute(log: EventLog, kpis: list[Definition], period: str = "12") -> DataFr
     return union_all(out)
 
 
-def attribute_kinds(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """date, number or text per attribute: at least 80 % of its values read as such."""
+def attribute_kinds(pairs: DataFrame, by: list[str], examples: int) -> DataFrame:
+    """date, number or text per attribute: at least 80 % of its values read as such; with its most frequent values."""
     v = F.col("value")
     counts = pairs.where(~v.isin("", "None")).groupBy(*by, "attribute", "value").agg(F.count(F.lit(1)).alias("c"))
     per = counts.groupBy(*by, "attribute").agg(
@@ -51,17 +51,19 @@ def attribute_kinds(pairs: DataFrame, by: list[str]) -> DataFrame:
         F.sum(F.when(S.number(v).isNotNull(), F.col("c")).otherwise(0)).alias("numbers"))
     kind = (F.when(F.col("dates") / F.col("filled") >= 0.8, "date")
             .when(F.col("numbers") / F.col("filled") >= 0.8, "number").otherwise("text"))
-    return per.select(*by, "attribute", kind.alias("kind"), "distinct", "filled")
+    shown = (top_values(counts.withColumnRenamed("c", "count"), [*by, "attribute"], examples).groupBy(*by, "attribute")
+             .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("x")))       # ``examples`` values
+    return per.join(shown, [*by, "attribute"]).select(*by, "attribute", kind.alias("kind"), "distinct", "filled", F.transform("x", lambda x: x["value"]).alias("examples"))
 
 
-def catalogue(log: EventLog) -> DataFrame:
-    """(scope, owner, attribute, kind, distinct, filled): attributes of object types, and of activities' events."""
-    objects = attribute_kinds(exploded_attributes(log.objects).select("object_type", "attribute", "value"), ["object_type"])
+def catalogue(log: EventLog, examples: int) -> DataFrame:
+    """(scope, owner, attribute, kind, distinct, filled, examples): attributes of object types, and of activities' events."""
+    objects = attribute_kinds(exploded_attributes(log.objects).select("object_type", "attribute", "value"), ["object_type"], examples)
     linked = log.links.select("event_id").distinct()
     events = log.events.join(linked, "event_id", "left_semi").select("activity", F.explode("attrs").alias("attribute", "value"))
-    per_event = attribute_kinds(events, ["activity"])
-    return (objects.select(F.lit("object").alias("scope"), F.col("object_type").alias("owner"), "attribute", "kind", "distinct", "filled")
-            .unionByName(per_event.select(F.lit("event").alias("scope"), F.col("activity").alias("owner"), "attribute", "kind", "distinct", "filled")))
+    per_event = attribute_kinds(events, ["activity"], examples)
+    return (objects.select(F.lit("object").alias("scope"), F.col("object_type").alias("owner"), "attribute", "kind", "distinct", "filled", "examples")
+            .unionByName(per_event.select(F.lit("event").alias("scope"), F.col("activity").alias("owner"), "attribute", "kind", "distinct", "filled", "examples")))
 
 
 def period(log: EventLog) -> DataFrame:
