@@ -110,3 +110,15 @@ def test_rank_sums_by_enumeration():
     # nothing grows with the bigger sample: far from the middle of a billion values
     assert 0 < ST.mann_whitney(8 * 9 / 2 + 7.9e9, 8, 10 ** 9, 0.0) < 1e-10
     assert ST.mann_whitney(15.0, 3, 3, 0.0) == pytest.approx(0.05) and ST.mann_whitney(6.0, 3, 3, 0.0) == 1.0
+
+
+def test_guards():
+    kpi = {"population": {"op": "attribute", "attribute": "colour"}, "amount": "price",
+           "condition": {"op": "any", "items": [{"op": "activity", "activities": ["Say Sorry"]}, {"op": "duration", "from": {"activity": "Bring In", "plus_days_attribute": "promised"}, "to": {"activity": "Hand Back"}}]}}
+    filters = [{"kind": "dimension", "type": "Repair", "dimension": {"source": "related", "object_type": "Maker"}},
+               {"kind": "dimension", "type": "Repair", "dimension": {"source": "activity", "activities": ["Send Quote"]}},
+               {"kind": "dimension", "type": "Repair", "dimension": {"source": "event_attribute", "attributes": ["user"]}},
+               {"kind": "condition", "type": "Maker", "condition": {"op": "attribute", "attribute": "title"}}, {"kind": "event", "attribute": "tool"}, {"kind": "ids", "ids": ["R1"]}]
+    acts, attrs = A.P.not_causes(kpi, filters, "Repair")
+    assert acts == {"Say Sorry", "Bring In", "Hand Back", "Send Quote"}
+    assert attrs == {("Repair", "colour"), ("Repair", "promised"), ("Repair", "price"), ("Maker", "__id__"), ("__event__", "user"), ("Maker", "title"), ("__event__", "tool")}
