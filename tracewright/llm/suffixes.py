@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import text as tx
-from tracewright.session import settle
+from tracewright.session import discard, settle
 
 GRAM = 20                  # bytes of an anchor
 BIN = 8                    # distances of an anchor that go together
@@ -241,9 +241,9 @@ def equal_windows(contexts: list[bytes], lows: list[int], groups: list[int], len
 
 def _match(length: int):
     def match(table: pa.Table) -> pa.Table:
-        """For each context the windows that a smaller document has, with the smallest such document."""
+        """For each context the windows that a smaller document has, as runs with one smallest such document."""
         part, low, name, group, start = (table[c].to_pylist() for c in ("part", "low", "id", "group", "start"))
-        found = {"id": [], "start": [], "low": []}
+        found = {"id": [], "start": [], "end": [], "low": []}
         order = sorted(range(len(part)), key=lambda i: group[i])
         lo = 0
         while lo < len(order):
@@ -264,14 +264,18 @@ def _match(length: int):
             for i in order[lo:hi]:
                 key = group[i], part[i]
                 known, own = better.get(key, {}), least[key]
-                for w in range(len(part[i]) - length + 1) if own < low[i] else known:
-                    at = known.get(w, own)
-                    if at < low[i]:
-                        found["id"].append(name[i])
-                        found["start"].append(start[i] + w)
-                        found["low"].append(at)
+                if not known and own >= low[i]:
+                    continue
+                a, run = 0, None               # first window of the run, and its document
+                for w in range(len(part[i]) - length + 2):
+                    at = min(known.get(w, own), own) if w <= len(part[i]) - length else None
+                    if at != run:
+                        if run is not None and run < low[i]:
+                            for c, x in (("id", name[i]), ("start", start[i] + a), ("end", start[i] + w - 1 + length), ("low", run)):
+                                found[c].append(x)
+                        a, run = w, at
             lo = hi
-        return pa.table({"id": pa.array(found["id"], pa.int64()), "start": pa.array(found["start"], pa.int32()), "low": pa.array(found["low"], pa.int64())})
+        return pa.table({"id": pa.array(found["id"], pa.int64()), "start": pa.array(found["start"], pa.int32()), "end": pa.array(found["end"], pa.int32()), "low": pa.array(found["low"], pa.int64())})
     return match
 
 
@@ -280,7 +284,7 @@ def _by_window(parts: DataFrame, length: int) -> DataFrame:
     each = parts.select("id", "low", "start", "part", F.explode(F.sequence(F.lit(0), F.octet_length("part") - length)).alias("w"))
     each = each.select("id", "low", (F.col("start") + F.col("w")).alias("start"), F.expr(f"substring(part, w + 1, {length})").alias("window"))
     least = each.groupBy("window").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).where("lo < hi").select("window", "lo")
-    return each.join(least, "window").where("lo < low").select("id", "start", F.col("lo").alias("low"))
+    return each.join(least, "window").where("lo < low").select("id", "start", (F.col("start") + length).alias("end"), F.col("lo").alias("low"))
 
 
 def _cutter():
@@ -326,22 +330,26 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     found = settle(rows.join(live, "name").mapInArrow(_contexts(length), "anchor long, doc_id long, name long, first int, gram int, context binary")
                    .withColumn("id", F.xxhash64("anchor", "context")), "repeat-contexts")
 
+    discard(shared)
     contexts = settle(found.groupBy("id", "anchor", "gram", "context").agg(F.min("doc_id").alias("low")), "repeat-kinds")
     dealt = contexts.mapInArrow(_parts(length), "id long, anchor long, low long, bin int, common binary, start int, part binary")
-    keyed = settle(dealt.select("id", "low", "start", "part", F.xxhash64("anchor", "bin", "common").alias("group")), "repeat-parts")
+    keyed = dealt.select("id", "low", "start", "part", F.xxhash64("anchor", "bin", "common").alias("group"))
+    # dealt twice, as most parts have no equal in another document and need not be written
     many = settle(keyed.groupBy("group").agg(F.min("low").alias("lo"), F.max("low").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("group", "n"), "repeat-groups")
     sizes = many.where(F.col("n") <= LARGE).agg(F.count(F.lit(1)), F.sum("n")).first()
     batches = max(1, sizes[0] // 500, (sizes[1] or 0) // TASK)
     small = keyed.join(many.where(F.col("n") <= LARGE).select("group"), "group").withColumn("batch", F.pmod(F.xxhash64("group"), F.lit(batches)))
-    windows = small.groupBy("batch").applyInArrow(_match(length), "id long, start int, low long")
+    windows = small.groupBy("batch").applyInArrow(_match(length), "id long, start int, end int, low long")
     large = many.where(F.col("n") > LARGE).select("group")
     if not large.isEmpty():
         windows = windows.unionByName(_by_window(keyed.join(large, "group"), length))
-    windows = settle(windows.groupBy("id").agg(F.collect_list(F.struct("start", "low")).alias("windows")), "repeat-windows")
+    windows = settle(windows.groupBy("id").agg(F.collect_list(F.struct("start", "end", "low")).alias("windows")), "repeat-windows")
 
     own = found.select("id", "doc_id", "name", "first", F.octet_length("context").alias("size")).join(contexts.select("id", "low"), "id").join(windows, "id", "left")
     whole = F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("size")).alias("e")))
-    some = F.transform(F.filter("windows", lambda w: w["low"] < F.col("doc_id")), lambda w: F.struct((F.col("first") + w["start"]).alias("a"), (F.col("first") + w["start"] + length).alias("e")))
+    some = F.transform(F.filter("windows", lambda w: w["low"] < F.col("doc_id")), lambda w: F.struct((F.col("first") + w["start"]).alias("a"), (F.col("first") + w["end"]).alias("e")))
     spans = own.select("name", F.explode(F.when(F.col("low") < F.col("doc_id"), whole).otherwise(some)).alias("s")).groupBy("name").agg(F.collect_set("s").alias("spans"))
-    return (rows.join(settle(spans, "repeat-spans"), "name", "left").select("doc_id", "text", "spans")
+    spans = settle(spans, "repeat-spans")
+    discard(found, contexts, many, windows)
+    return (rows.join(spans, "name", "left").select("doc_id", "text", "spans")
             .mapInArrow(_cutter(), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"))
