@@ -2,13 +2,15 @@
 
 A classifier learned from a labelled table gives each document a probability
 for every domain. Rates (how often a document enters the mix) are found by
-least squares under bounds, so that the expected tokens of each domain
-meet their targets. The best rate of a document is 1 less the product of its
-probabilities with a vector that is the same for all documents, held between
-the bounds; the whole fit is therefore one gradient step from 1 with the right
-vector. That vector has one number a domain and is found by Newton's method;
-one pass over the documents per round adds up what several lengths of a step
-lead to. It ends by a proof: the gap to the best possible miss is known.
+projected-gradient least squares under bounds, so that the expected tokens of
+each domain meet their targets. A gradient step lowers the rate of a document
+by the product of its probabilities with a vector that is the same for all
+documents, so the vectors of the steps (with their momentum) are all that is
+kept: a pass over the documents replays them and adds up what each domain gets.
+The fit ends where the targets are met, or where a lower bound of the miss,
+added up in the same pass, shows that it is the least possible. Where neither is
+so after a stated number of passes (rates without a ceiling that would have to
+grow without end), Newton's method on the dual problem takes over.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ PER_DOMAIN = 1000      # labelled documents of a domain to learn from, about
 CLOSE = 1e-3           # enough: no domain misses its target by more than this share of all tokens
 STILL = 1e-4           # or the miss is the least possible: its equation holds to this share of all tokens
 PULL = 1e-9            # weight of staying at rate 1 against meeting the targets
+PASSES = 60            # gradient steps, at most
+PROVED = 1e-3          # the weighted miss exceeds the least possible by no more than this share
 LENGTHS = tuple(2.0 ** -i for i in range(12))      # parts of a step that are tried in one pass
 DENSE = 4              # features besides words
 
@@ -44,7 +48,7 @@ class Classifier:
 @dataclass(frozen=True)
 class Mix:
     classifier: Classifier
-    steps: tuple[tuple[float, ...], ...]
+    steps: tuple[tuple[tuple[float, ...], float], ...]      # vector and momentum of each
     ceiling: float | None
     targets: dict[str, float]      # tokens
     reached: dict[str, float]
@@ -144,17 +148,75 @@ def predict(docs: DataFrame, model: Classifier, carry: list[str], text: str = "t
     return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(_predictor(model, text, carry), schema).toDF(*carry, "n_tokens", "posterior")
 
 
-def _dot(a: Column, b: list[float]) -> Column:
-    return sum((a[k] * F.lit(float(x)) for k, x in enumerate(b)), F.lit(0.0))
-
-
 def _rate(steps, ceiling: float | None) -> Column:
-    """Rate of a document after the steps: 1, lowered and raised, held between 0 and the ceiling each time."""
-    rate = F.lit(1.0)
-    for v in steps:
-        rate = F.greatest(rate - _dot(F.col("posterior"), v), F.lit(0.0))
+    """Rate of a document after the steps, held between 0 and the ceiling each time."""
+    start = F.lit(1.0 if ceiling is None else min(1.0, float(ceiling)))
+    if not steps:
+        return start
+
+    def step(s: Column, x: Column) -> Column:
+        down = sum((F.col("posterior")[k] * x["vector"][k] for k in range(len(steps[0][0]))), F.lit(0.0))
+        rate = F.greatest(s["ahead"] - down, F.lit(0.0))
         rate = rate if ceiling is None else F.least(rate, F.lit(float(ceiling)))
-    return rate
+        return F.struct(rate.alias("rate"), (rate + x["push"] * (rate - s["rate"])).alias("ahead"))
+
+    each = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in v]).alias("vector"), F.lit(float(push)).alias("push")) for v, push in steps])
+    return F.aggregate(each, F.struct(start.alias("rate"), start.alias("ahead")), step, lambda s: s["rate"])
+
+
+def _reacher(steps, ceiling: float | None, price: np.ndarray):
+    """Tokens reached after the steps; of the price of each document, the tokens times its negative part, and the least price."""
+    k = len(price)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, least = np.zeros(k + 1), 0.0
+        for batch in batches:
+            n = batch.column("n_tokens").to_numpy().astype(float)
+            p = batch.column("posterior").flatten().to_numpy().reshape(-1, k)
+            rate = ahead = np.full(len(n), 1.0 if ceiling is None else min(1.0, ceiling))
+            for v, push in steps:
+                new = np.clip(ahead - p @ np.array(v), 0.0, ceiling)
+                rate, ahead = new, new + push * (new - rate)
+            below = np.minimum(p @ price, 0.0)
+            total += np.r_[(n * rate) @ p, n @ below]
+            least = min(least, below.min(initial=0.0))
+        yield pa.RecordBatch.from_arrays([tx.lists(np.array([k + 1]), total, pa.float64()), pa.array([least])], ["sums", "least"])
+    return add
+
+
+def _descend(rows: DataFrame, have: np.ndarray, gram: np.ndarray, target: np.ndarray, w: np.ndarray, ceiling: float | None):
+    """Steps of accelerated projected gradient and the tokens they reach; None if neither the targets nor a proof are reached.
+
+    The gradient is scaled by the largest curvature of the weighted Gram matrix of the domains. The prices
+    y = w * miss give the lower bound: half the weighted squares of e are, for
+    all rates r allowed, at least - y ** 2 / 2w - y * target + the sum of tokens * r * price,
+    where a document's price is its posterior times y.
+    """
+    k, total = len(target), target.sum()
+    at_least = np.sqrt(w)
+    reach = np.linalg.eigvalsh(at_least[:, None] * gram * at_least).max()
+    steps: list[tuple[tuple[float, ...], float]] = []
+    reached = have if ceiling is None else have * min(1.0, ceiling)
+    ahead, bound, age = reached, -np.inf, 0
+    for _ in range(PASSES):
+        if np.abs(reached - target).max() <= CLOSE * total:
+            return steps, reached
+        price = w * (ahead - target)
+        steps.append((tuple(float(x) for x in price / reach), 0.0))
+        added = rows.select("n_tokens", "posterior").mapInArrow(_reacher(steps, ceiling, price), "sums array<double>, least double")      # a row a task
+        *found, least = added.agg(*[F.sum(F.col("sums")[i]) for i in range(k + 1)], F.min("least")).first()
+        new, below = np.array(found[:k]), found[k]
+        if ceiling is None:
+            price, below = price - least, 0.0      # posteriors sum to 1: no document has a negative price now
+        bound = max(bound, -(price * price / w).sum() / 2 - price @ target + (ceiling or 0.0) * below)
+        miss, before = ((w * (x - target) ** 2).sum() / 2 for x in (new, reached))
+        age = 0 if miss > before else age + 1      # a step that went too far takes its momentum away
+        push = age / (age + 3)
+        steps[-1] = (steps[-1][0], push)
+        ahead, reached = new + push * (new - reached), new
+        if miss - bound <= PROVED / 2 * miss:
+            return steps, reached
+    return (steps, reached) if np.abs(reached - target).max() <= CLOSE * total else None
 
 
 def _adder(tries: np.ndarray, ceiling: float | None):
@@ -188,11 +250,12 @@ def fit(docs: DataFrame, model: Classifier, weights: dict[str, float], ceiling:
 
     The mix is as large as the corpus (``keep_total``), or as large as it can be
     without any domain needing more tokens than it has; use that with a ceiling of 1.
-    Rates change no more from 1 than the targets ask for. The
-    squared misses are weighted by the size of each domain, and where the targets
-    cannot be met their weighted sum is the least possible.
+    The squared misses are weighted by the size of each domain, and where the targets
+    cannot be met their weighted sum is the least possible. An empty table, or texts
+    without words only, give no steps.
 
-    With e the misses, the rates sought minimize PULL * half the sum of tokens *
+    Where projected gradient does not end in PASSES, the rates also change no more from 1 than asked
+    for: with e the misses, they minimize PULL * half the sum of tokens *
     (rate - 1) ** 2 plus half the weighted squares of e. The dual problem has one
     number a domain, and what its gradient leaves open is the gap to that minimum.
     """
@@ -210,6 +273,10 @@ def fit(docs: DataFrame, model: Classifier, weights: dict[str, float], ceiling:
     if not have.sum():
         return Mix(model, (), ceiling, dict(zip(model.domains, target)), dict(zip(model.domains, have)))
     w = 1 / np.maximum(np.diag(gram), 1e-9 * have.sum())
+    name = lambda v: {d: float(x) for d, x in zip(model.domains, v, strict=True)}
+    descended = _descend(rows, have, gram, target, w, ceiling)
+    if descended is not None:
+        return Mix(model, tuple(descended[0]), ceiling, name(target), name(descended[1]))
     soft = PULL / w        # as a share of the largest possible weight
     vector, best = np.zeros(k), None
     step = np.zeros(k)
@@ -229,8 +296,7 @@ def fit(docs: DataFrame, model: Classifier, weights: dict[str, float], ceiling:
         if np.abs(reached - target).max() <= CLOSE * total or np.abs(slope).max() <= STILL * total:
             break
         step = np.linalg.solve(free + np.diag(soft), slope)
-    steps = [tuple(float(x) for x in vector)] if vector.any() else []
-    name = lambda v: {d: float(x) for d, x in zip(model.domains, v, strict=True)}
+    steps = [(tuple(float(x) for x in vector), 0.0)] if vector.any() else []
     return Mix(model, tuple(steps), ceiling, name(target), name(reached))
 
 
