@@ -34,6 +34,20 @@ SQL["s1_csv_scan"] = """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nation
     CASE WHEN c_custkey % 7 > 1 THEN c_mktsegment END AS c_mktsegment FROM customer"""
 
 
+def s1_line_breaks(spark, folder):
+    """Names with line breaks, quotes and separators, written as CSV and read back."""
+    path = scratch(spark)
+    c = table(spark, folder, "customer")
+    name = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", '), F.repeat(F.lit("line\n"), F.pmod("c_custkey", F.lit(4)).cast("int")), F.lit("end"))
+    c.select("c_custkey", name.alias("note"), "c_mktsegment").write.option("header", True).option("escape", '"').csv(path)
+    return files.read_csv(spark, path)
+
+
+Q["s1_csv_line_breaks"] = s1_line_breaks
+SQL["s1_csv_line_breaks"] = """SELECT c_custkey::VARCHAR AS c_custkey, c_mktsegment,
+    c_name || chr(10) || '"' || c_mktsegment || '", ' || repeat('line' || chr(10), (c_custkey % 4)::INTEGER) || 'end' AS note FROM customer"""
+
+
 def typed(spark, folder):
     """One column per kind of content, from the orders."""
     o = table(spark, folder, "orders")
@@ -128,6 +142,18 @@ def s13(spark, folder):
 Q["s13_json_import"] = s13
 SQL["s13_json_import"] = sql("""SELECT object_type, qualifier, activity, count(*) AS links, count(DISTINCT object_id) AS objects, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM se2o GROUP BY 1, 2, 3""")
 
+def s13_document(spark, folder):
+    """The session log written as one document, and the links of what is read back."""
+    path = scratch(spark)
+    ocel.write_document(session_log(spark, folder), path)
+    log = ocel.read_document(spark, path)
+    return log.e2o.groupBy("object_type", "qualifier", "activity").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("object_id").alias("objects"),
+                                                                     F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"))
+
+
+Q["s13_document"] = s13_document
+SQL["s13_document"] = SQL["s13_json_import"]
+
 Q["s14_flat_objects"] = lambda spark, folder: ocel.flat_objects(order_log(spark, folder), "Order").select(
     "object_id", F.element_at("attrs", "o_orderstatus").alias("status"), "events", F.date_format("first", "yyyy-MM-dd").alias("first"),
     F.date_format("last", "yyyy-MM-dd").alias("last"), "duration_days", "activities")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,24 +27,59 @@ def _pairs(attrs, time: str | None):
     return F.transform(F.array_sort(F.map_entries(attrs)), entry)
 
 
-def write_json(log: EventLog, path: str) -> None:
-    """JSON lines: ``objects`` and ``events`` with nested links.
+def _records(log: EventLog) -> tuple[DataFrame, DataFrame]:
+    """Object and event records (see the schemas).
 
-    An event with very many links is continued on further lines under the same
+    An event with very many links is continued in further records under the same
     id, so that no single record has to hold them all.
     """
-    log.objects.select(F.col("object_id").alias("id"), F.col("object_type").alias("type"),
-                       _pairs("attrs", "1970-01-01T00:00:00Z").alias("attributes")).write.mode("errorifexists").json(f"{path}/objects")
+    objects = log.objects.select(F.col("object_id").alias("id"), F.col("object_type").alias("type"),
+                       _pairs("attrs", "1970-01-01T00:00:00Z").alias("attributes"))
     sizes = log.e2o.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LINKS_PER_LINE)
     placed = log.e2o.join(sizes, "event_id", "left").withColumn("part", F.pmod(
         F.xxhash64("object_id", "qualifier"), F.coalesce(F.ceil(F.col("n") / LINKS_PER_LINE), F.lit(1))))
     links = placed.groupBy("event_id", "part").agg(F.array_sort(F.collect_list(F.struct(
         F.col("object_id").alias("objectId"), "qualifier"))).alias("relationships"))
     none = F.array().cast("array<struct<objectId:string,qualifier:string>>")
-    log.events.join(links, "event_id", "left").select(
+    events = log.events.join(links, "event_id", "left").select(
         F.col("event_id").alias("id"), F.col("activity").alias("type"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), _pairs("attrs", None).alias("attributes"),
-        F.coalesce("relationships", none).alias("relationships")).write.mode("errorifexists").json(f"{path}/events")
+        F.coalesce("relationships", none).alias("relationships"))
+    return objects, events
+
+
+def write_json(log: EventLog, path: str) -> None:
+    """JSON lines: ``objects`` and ``events`` with nested links."""
+    objects, events = _records(log)
+    objects.write.mode("errorifexists").json(f"{path}/objects")
+    events.write.mode("errorifexists").json(f"{path}/events")
+
+
+def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one document from records sorted by kind (0: object, 1: event), a batch at a time."""
+    line = lambda texts: pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+    events, first = False, True
+    yield line(['{"objects": ['])
+    for batch in batches:
+        out = []
+        for kind, record in zip(batch.column("kind").to_pylist(), batch.column("record").to_pylist(), strict=True):
+            if kind and not events:
+                out.append('], "events": [')
+                events, first = True, True
+            out.append(record if first else "," + record)
+            first = False
+        yield line(out)
+    yield line(["]}" if events else '], "events": []}'])
+
+
+def write_document(log: EventLog, path: str) -> None:
+    """Documents with ``objects`` and ``events``, one a partition; together they hold the log, and each can be read by itself.
+
+    Records pass one batch at a time, so no task holds its document.
+    """
+    kinds = [r.select(F.lit(i).alias("kind"), F.to_json(F.struct(*r.columns)).alias("record")) for i, r in enumerate(_records(log))]
+    lines = kinds[0].unionByName(kinds[1]).repartition("record").sortWithinPartitions("kind", "record").mapInArrow(_documents, "value string")
+    lines.write.mode("errorifexists").text(path)
 
 
 def _map(attributes):
@@ -81,7 +119,7 @@ def read_json_lines(spark: SparkSession, path: str) -> EventLog:
 
 
 def read_document(spark: SparkSession, path: str) -> EventLog:
-    """One JSON document with ``objects`` and ``events`` (as exported by other tools). The order of its events breaks ties."""
+    """JSON documents with ``objects`` and ``events`` (as exported by other tools). The order of the events of a document breaks ties."""
     doc = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
     objects = doc.select(F.explode("objects").alias("o")).select("o.*")
     events = doc.select(F.posexplode("events").alias("pos", "e")).select(
