@@ -2,7 +2,8 @@
 
 Everything is a column expression. Positions of all matches of a pattern come
 from splitting the text at it: the pieces and the matches alternate, so their
-lengths add up to the positions.
+lengths add up to the positions. The lengths are added up in blocks, so that a
+text of very many matches needs about the power 1.5 of their number.
 
 Besides the patterns, long tokens are compared under two character Markov
 models, one of random strings and one of ordinary identifiers. Both are learned
@@ -21,6 +22,7 @@ RANDOM_SAMPLE = 20_000     # documents whose pattern values teach the model of r
 WORD_SAMPLE = 2_000        # documents whose words teach the model of identifiers, about
 LEAST_RATIO = 0.5          # log-likelihood ratio per step (nats) from which a token counts as random
 CODES = 128
+BLOCK = 128                # matches whose lengths are added up together
 
 # What is looked for, and in which order kinds of equal start stand.
 ASSIGN = """(?i)(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,14 +33,33 @@ KINDS = ("assign", "access", "hex", "markov")
 SPAN = "struct<start:int,rank:int,end:int,value:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """The body with the value computed once; columns named inside of a lambda are computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda s, x: s + x["gap"] + x["own"])
+
+
+def _blocks(lengths: Column) -> Column:
+    """Totals of the blocks."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda b: _total(F.slice(lengths, b * BLOCK + 1, BLOCK)))
+
+
+def _ahead(lengths: Column, blocks: Column, i: Column) -> Column:
+    """Total of the first i entries."""
+    b = F.floor(i / BLOCK).cast("int")
+    return F.aggregate(F.slice(blocks, 1, b), F.lit(0), lambda s, x: s + x) + _total(F.slice(lengths, b * BLOCK + 1, i - b * BLOCK))
+
+
 def _spans(text: Column, pattern: str, rank: int, value_group: int = 0, least: int = 0) -> Column:
     """Matches of the pattern as (start, rank, end, value); those with a shorter value are left out."""
     p = F.lit(pattern)
     found, values, parts = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(value_group)), F.split(text, pattern, -1)
-    length = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.char_length(x))
-    spans = F.transform(F.arrays_zip(found.alias("m"), values.alias("v")), lambda x, i: F.struct(
-        (length(parts, i + 1) + length(found, i)).alias("start"), F.lit(rank).alias("rank"),
-        (length(parts, i + 1) + length(found, i + 1)).alias("end"), x["v"].alias("value")))
+    lengths = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda a, b: F.struct(F.char_length(a).alias("gap"), F.char_length(b).alias("own")))
+    spans = _let(F.struct(lengths.alias("l"), values.alias("v"), found.alias("m")), lambda z: _let(_blocks(z["l"]), lambda blocks: F.transform(z["l"], lambda x, i: _let(
+        _ahead(z["l"], blocks, i) + x["gap"], lambda start: F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["own"]).alias("end"), F.get(z["v"], i).alias("value"))))))
     if least:
         spans = F.filter(spans, lambda s: F.char_length(s["value"]) >= least)
     return F.when(F.regexp_like(text, p), spans).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")).cast(f"array<{SPAN}>")
