@@ -61,3 +61,16 @@ def test_ids_are_made_by_compiled_code(spark):
         parts = df._jdf.queryExecution().debug().codegenToSeq().iterator()
         while parts.hasNext():
             assert parts.next()._3().maxMethodCodeSize() < 8000        # larger methods stay interpreted
+
+
+def test_related_objects_and_categories(spark):
+    from tracewright.operators import objective, overview
+    from tracewright.operators.kpi.dimensions import related_objects
+    from tracewright.operators.rca.features import related
+    log, plain = both(spark)
+    pop = spark.createDataFrame([(f"Order:{n}",) for n in range(5)], "case_id string")
+    assert rows(related(log, "Order", pop)) == rows(related(plain, "Order", pop))
+    assert rows(related_objects(log, "Order", "Shop")) == rows(related_objects(plain, "Order", "Shop"))
+    assert rows(overview.relations(overview.cases(log, "Item"))) == rows(overview.relations(overview.cases(plain, "Item")))
+    found = rows(objective.category_attributes(log))
+    assert found == rows(objective.category_attributes(plain)) and {r[0] for r in found} == {"prio"}
