@@ -8,7 +8,7 @@ from tracewright.operators import filters, model
 from tracewright.plans.log import EventLog
 
 MAPPING = Mapping(
-    (ObjectRule("Order", "orders", ("ok",), ("prio",), unique_key=True), ObjectRule("Item", "lines", ("item",), ("price",)),
+    (ObjectRule("Order", "orders", ("ok",), ("prio", "day"), unique_key=True), ObjectRule("Item", "lines", ("item",), ("price",)),
      ObjectRule("Shop", "shops", ("shop",), unique_key=True)),
     (EventRule("Place", "orders", "day", row_key=("ok",)),
      EventRule("Line", "lines", "day", activity_column="kind", activity_values={"S": "Ship", "R": "Return"}, attributes=("kind",),
@@ -17,7 +17,7 @@ MAPPING = Mapping(
 
 
 def tables(spark):
-    orders = [(n, f"2024-01-{n + 1:02d}", "high" if n % 3 == 0 else "low") for n in range(12)]
+    orders = [(n, f"2024-01-{n + 1:02d}", "high" if n % 3 == 0 else "low") for n in range(14)]
     # items 1 to 9 belong to one order each, item 10 to a high and a low one, item 11 to an order that does not exist
     lines = [(n % 9 + 1, n % 9, n % 4, 1.5 + n, f"2024-02-{n + 1:02d}", "S" if n % 2 else "R") for n in range(20)]
     lines += [(10, 0, 0, 0.25, "2024-03-01", "S"), (10, 1, 1, 12.5, "2024-03-02", "S"), (11, 99, 2, 7.0, "2024-03-03", "R")]
@@ -73,4 +73,4 @@ def test_related_objects_and_categories(spark):
     assert rows(related_objects(log, "Order", "Shop")) == rows(related_objects(plain, "Order", "Shop"))
     assert rows(overview.relations(overview.cases(log, "Item"))) == rows(overview.relations(overview.cases(plain, "Item")))
     found = rows(objective.category_attributes(log))
-    assert found == rows(objective.category_attributes(plain)) and {r[0] for r in found} == {"prio"}
+    assert found == rows(objective.category_attributes(plain)) and {r[0] for r in found} == {"price", "prio"}     # 14 days are too many
